@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopyard.llm import mixing, spans, tokenizer
+from hopyard.llm import body, mixing, residue, spans, tokenizer
 from hopyard.session import table
 
 
@@ -17,6 +17,14 @@ def _ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return body.main_lines(table(spark, folder, "fetch_result"), "page_id", "html")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue_pages(table(spark, folder, "fetch_result"), "page_id", "url", "html")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode(table(spark, folder, "documents"), "doc_id", "text", _ranks())
 
@@ -54,7 +62,7 @@ def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p8_ids, p9_mix, p9_shares, p10_found, p10_shared)}
+    return {f.__name__: f for f in (p2_found, p5_found, p8_ids, p9_mix, p9_shares, p10_found, p10_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
