@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopyard.llm import body, mixing, residue, spans, tokenizer
+from hopyard.llm import addresses, body, discovery, increments, linkage, mixing, residue, spans, tokenizer
 from hopyard.session import table
 
 
@@ -17,6 +17,49 @@ def _ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+AS_OF = "2026-08-05T00:00:00Z"
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    records = (
+        table(spark, folder, "valid_base_config").select(F.col("config_no").alias("id"), "address")
+        .unionByName(table(spark, folder, "overture_fixture").select(F.col("place_no").alias("id"), "address"))
+        .unionByName(table(spark, folder, "candidate").select(F.col("cand_id").alias("id"), "address"))
+        .unionByName(table(spark, folder, "observation").where("venue_id = 'unassigned'").select(F.col("obs_id").alias("id"), F.col("matched_address").alias("address")))
+    )
+    return addresses.expand(*addresses.same_location(records))
+
+
+def p3_links(spark: SparkSession, folder: str) -> DataFrame:
+    poi = table(spark, folder, "overture_fixture").select(F.col("place_no").alias("id"), "name", "address", "phone")
+    seen = table(spark, folder, "observation").select(F.col("obs_id").alias("id"), F.col("matched_name").alias("name"), F.col("matched_address").alias("address"), F.col("matched_phone").alias("phone"))
+    return linkage.link(poi, seen).select(F.col("left_id").alias("place_no"), F.col("right_id").alias("obs_id"), "confidence")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_links(spark, folder).select("place_no", "obs_id")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return discovery.surviving(table(spark, folder, "claim"), AS_OF)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    history = increments.History(spark)
+    gone = table(spark, folder, "removed_venues")
+    # Below zero, as a removed venue comes before every candidate.
+    name = F.coalesce(F.nullif(F.trim("norm_name"), F.lit("")), F.col("name"))
+    history.seed(gone.select((-F.col("tomb_no")).alias("id"), (-F.col("tomb_no")).alias("root"), name.alias("name"), F.col("norm_address").alias("address")))
+    rows = table(spark, folder, "candidate").select(F.col("cand_id").alias("id"), "name", "address", "batch_no")
+    # The number of batches, not of rows.
+    batches = sorted(r[0] for r in rows.select("batch_no").distinct().collect() if r[0] is not None)
+    found = None
+    for n in batches:
+        roots = history.add(rows.where(F.col("batch_no") == n).drop("batch_no"))
+        found = roots if found is None else found.unionByName(roots)
+    return found.where("root <> id").select(F.abs("root").alias("first_id"), F.col("id").alias("cand_id"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return body.main_lines(table(spark, folder, "fetch_result"), "page_id", "html")
 
@@ -62,7 +105,7 @@ def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p5_found, p8_ids, p9_mix, p9_shares, p10_found, p10_shared)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_links, p4_found, p5_found, p6_found, p8_ids, p9_mix, p9_shares, p10_found, p10_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
