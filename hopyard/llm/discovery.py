@@ -88,16 +88,22 @@ def _keys(df: DataFrame) -> DataFrame:
     return df.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in df.dtypes) + ", key string, full double")
 
 
-def _complete(part: pd.DataFrame) -> pd.DataFrame:
-    """For the distinct values of one fact: the fullest value that covers each (itself if none, or if several differ)."""
-    keys = list(part["key"])
-    field = part["field"].iloc[0]
-    whole = []
+def _wholes(field: str, keys: list[str]) -> list[str]:
+    """For the distinct values of one fact: the fullest value that covers each; itself if none does, or if several that
+    differ do."""
+    found = []
     for k in keys:
         above = [f for f in keys if f != k and covers(field, f, k)]
         tops = [f for f in above if not any(g != f and covers(field, g, f) and not covers(field, f, g) for g in above)]
-        whole.append(k if not tops or len({*tops}) > 1 and not all(covers(field, tops[0], t) or covers(field, t, tops[0]) for t in tops) else max(tops, key=lambda t: (len(t), t)))
-    return part.assign(whole=whole)
+        alone = all(covers(field, tops[0], t) or covers(field, t, tops[0]) for t in tops)
+        found.append(max(tops, key=lambda t: (len(t), t)) if tops and alone else k)
+    return found
+
+
+def _complete(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        rows = [(v, f, k, w) for v, f, field, keys in zip(part["v"], part["f"], part["field"], part["keys"]) for k, w in zip(keys, _wholes(field, list(keys)))]
+        yield pd.DataFrame(rows, columns=["v", "f", "key", "whole"])
 
 
 def surviving(df: DataFrame, as_of: str) -> DataFrame:
@@ -118,8 +124,8 @@ def surviving(df: DataFrame, as_of: str) -> DataFrame:
     rows = rows.select(*fact, *rows.columns)
     several = rows.groupBy("v", "f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v", "f")
     valued = rows.where("key <> ''").join(several, ["v", "f"])
-    values = valued.groupBy("v", "f", "field", "key").agg(F.max("full").alias("full"))
-    whole = values.groupBy("v", "f").applyInPandas(_complete, ", ".join(f"{n} {t}" for n, t in values.dtypes) + ", whole string").select("v", "f", "key", "whole")
+    values = valued.groupBy("v", "f", "field").agg(F.collect_set("key").alias("keys"))
+    whole = values.mapInPandas(_complete, "v string, f string, key string, whole string")
     valued = materialize(valued.join(whole, ["v", "f", "key"]), "valued")
     end = F.unix_micros(F.lit(as_of).cast("timestamp"))
     age = F.greatest((end - F.coalesce("seen", F.lit(0))) / F.lit(86_400e6), F.lit(0.0))

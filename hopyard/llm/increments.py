@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopyard.llm import places
@@ -23,6 +23,10 @@ _PARTS = "own array<string>, address struct<number string, street string, direct
 _SCHEMA = f"id bigint, root bigint, {_PARTS}, span int, lead string, key string"
 
 
+def _span() -> Column:
+    return F.pmod(F.xxhash64("lead"), F.lit(RANGES)).cast("int")
+
+
 def keyed(df: DataFrame, nameless: bool = False) -> DataFrame:
     """(id, root, parts, span, lead, key) of (id, root, name, address): a row for each sort key. ``lead`` is the part of
     a key that neighbours share, ``span`` its key range. Rows without a street have no key; with ``nameless`` they
@@ -43,7 +47,7 @@ def keyed(df: DataFrame, nameless: bool = False) -> DataFrame:
             yield pd.DataFrame(rows, columns=["id", "root", "own", "address", "lead", "key"])
 
     out = df.mapInPandas(run, f"id bigint, root bigint, {_PARTS}, lead string, key string")
-    return out.withColumn("span", F.pmod(F.xxhash64("lead"), F.lit(RANGES)).cast("int")).select("id", "root", "own", "address", "span", "lead", "key")
+    return out.withColumn("span", _span()).select("id", "root", "own", "address", "span", "lead", "key")
 
 
 def same_place(x: tuple, y: tuple) -> bool:
@@ -58,28 +62,28 @@ def _row(own: list, address: dict | None) -> tuple:
 
 
 def _windows(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-    """(id, other, is_root) for one lead of a range: the new rows against the accepted ones and each other."""
-    found = []
-    if len(new):
-        # Rows of the same form are compared once.
-        forms: dict[tuple, list[tuple[bool, int]]] = {}
-        for fresh, part in ((True, new), (False, old)):
-            for id_, root, own, address in zip(part["id"], part["root"], part["own"], part["address"]):
-                forms.setdefault(_row(own, address), []).append((fresh, id_ if fresh else root))
-        keys = list(forms)
-        news = {k: [i for fresh, i in v if fresh] for k, v in forms.items()}
-        # A known record's root stands for it: the smallest says which it repeats.
-        first = {k: min(olds) if (olds := [i for fresh, i in v if not fresh]) else None for k, v in forms.items()}
+    """(form, other, known) for one range: the new forms against the accepted ones and each other, walked lead by lead.
+    A known form is stood for by its root, a new one by its smallest id."""
+    leads: dict[str, dict[tuple, list]] = {}
+    for fresh, part in ((True, new), (False, old)):
+        for lead, form, root, own, address in zip(part["lead"], part["form"], part["root"], part["own"], part["address"]):
+            entry = leads.setdefault(lead, {}).setdefault(_row(own, address), [None, None, None])
+            if fresh:
+                entry[0], entry[1] = form, root
+            else:
+                entry[2] = root if entry[2] is None else min(root, entry[2])
+    found = set()
+    for rows in leads.values():
+        keys = sorted(rows, key=repr)
         for i, x in enumerate(keys):
             for y in keys[i:]:
-                if (news[x] or news[y]) and (x == y or same_place(x, y)):
-                    for p, q in ((x, y), (y, x)) if x != y else ((x, x),):
-                        if news[p] and first[q] is not None:
-                            found += [(n, first[q], True) for n in news[p]]
-                        if news[p] and news[q]:
-                            low = min(news[q])
-                            found += [(n, low, False) for n in news[p] if low < n]
-    return pd.DataFrame(found, columns=["id", "other", "known"])
+                if (rows[x][0] is not None or rows[y][0] is not None) and (x == y or same_place(x, y)):
+                    for p, q in ((rows[x], rows[y]), (rows[y], rows[x])):
+                        if p[0] is not None and q[2] is not None:
+                            found.add((p[0], q[2], True))
+                        if p[0] is not None and q[0] is not None:
+                            found.add((p[0], q[1], False))
+    return pd.DataFrame(list(found), columns=["form", "other", "known"])
 
 
 class History:
@@ -89,14 +93,16 @@ class History:
         self.spark = spark
         self.runs: list[tuple[int, str]] = []
 
-    def _append(self, df: DataFrame, level: int = 0) -> None:
+    def _append(self, df: DataFrame, level: int = 0) -> str:
+        """Write a run; its table stays when it is compacted, as results may still be read from it."""
         path = fresh_path(self.spark, "history")
         df.repartition("span").sortWithinPartitions("span", "key").write.parquet(path)
         self.runs.append((level, path))
         same = [p for k, p in self.runs if k == level]
         if len(same) >= FANOUT:
             self.runs = [(k, p) for k, p in self.runs if k != level]
-            self._append(self.spark.read.parquet(*same), level + 1)
+            self._append(self.spark.read.schema(df.schema).parquet(*same), level + 1)
+        return path
 
     def seed(self, df: DataFrame) -> None:
         """Take in records without a check: (id, root, name, address). A root less than 0 comes before all others."""
@@ -105,26 +111,31 @@ class History:
     def add(self, batch: DataFrame) -> DataFrame:
         """Check (id, name, address) and take it in: (id, root) of each row with a name and a street. In a batch the
         smaller id is the earlier; a row whose root is its own id is accepted."""
-        new = materialize(keyed(batch.withColumn("root", F.col("id")), nameless=False), "batch")
-        own = F.concat(F.lit("="), F.array_join("own", ""))
+        return self.add_keyed(materialize(keyed(batch.withColumn("root", F.col("id"))), "batch"))
+
+    def add_keyed(self, new: DataFrame) -> DataFrame:
+        """As ``add``, of rows that ``keyed`` made; they are read several times, so they should be in a table."""
+        name = F.concat(F.lit("="), F.array_join("own", ""))
         # The same rows also probe the names of records without a location.
-        bare = new.select("id", "root", "own", "address", own.alias("lead")).distinct().withColumn("span", F.pmod(F.xxhash64("lead"), F.lit(RANGES)).cast("int")).select("id", "root", "own", "address", "span", "lead", own.alias("key"))
+        bare = new.dropDuplicates(["id"]).withColumn("lead", name).withColumn("key", name).withColumn("span", _span())
         probes = new.unionByName(bare)
         if self.runs:
             # Only the ranges and leads around new rows are read on.
-            old = self.spark.read.schema(new.schema).parquet(*[p for _, p in self.runs]).join(probes.select("span", "lead").distinct(), ["span", "lead"], "left_semi")
-            old = old.where("lead not like '=%' or address is null")
+            old = self.spark.read.schema(new.schema).parquet(*[p for _, p in self.runs]).where("lead not like '=%' or address is null")
+            old = old.join(probes.select("span", "lead").distinct(), ["span", "lead"], "left_semi")
         else:
-            old = self.spark.createDataFrame([], new.schema)
-        links = materialize(probes.groupBy("span", "lead").cogroup(old.groupBy("span", "lead")).applyInPandas(_windows, "id bigint, other bigint, known boolean"), "links")
-        ids = new.select("id").distinct()
-        best = links.groupBy("id").agg(F.min(F.when(F.col("known"), F.col("other"))).alias("old"), F.min(F.when(~F.col("known"), F.col("other"))).alias("near"))
-        state = ids.join(best, "id", "left")
+            old = new.limit(0)
+        # Rows of one form are one row here, on either side, before anything is grouped by range.
+        form = F.xxhash64(F.to_json("own"), F.to_json(F.struct("address")))
+        firsts = probes.groupBy("span", "lead", "own", "address").agg(F.min("id").alias("root")).withColumn("form", form)
+        known = old.groupBy("span", "lead", "own", "address").agg(F.min("root").alias("root")).withColumn("form", F.lit(0).cast("bigint"))
+        links = materialize(firsts.groupBy("span").cogroup(known.groupBy("span")).applyInPandas(_windows, "form bigint, other bigint, known boolean"), "links")
+        best = links.groupBy("form").agg(F.min(F.when(F.col("known"), F.col("other"))).alias("old"), F.min(F.when(~F.col("known"), F.col("other"))).alias("near"))
+        best = new.select("id", form.alias("form")).distinct().join(best, "form", "left").select("id", "old", F.least("near", "id").alias("near"))
         # A row may repeat a row of its own batch that repeats another: follow twice.
         for _ in range(2):
-            state = materialize(state, "state")
-            up = state.select(F.col("id").alias("near"), F.col("old").alias("old2"), F.col("near").alias("near2"))
-            state = state.join(up, "near", "left").select("id", F.least("old", "old2").alias("old"), F.least("near", "near2").alias("near"))
-        roots = materialize(state.select("id", F.coalesce("old", "near", "id").alias("root")), "roots")
-        self._append(new.drop("root").join(roots, "id").select(*new.columns))
-        return roots
+            up = best.select(F.col("id").alias("near"), F.col("old").alias("old2"), F.col("near").alias("near2"))
+            best = best.join(up, "near", "left").select("id", F.least("old", "old2").alias("old"), F.least("near", "near2").alias("near"))
+        rooted = new.drop("root").join(best, "id", "left").withColumn("root", F.coalesce("old", "near", "id"))
+        path = self._append(rooted.select(*new.columns))
+        return self.spark.read.schema(new.schema).parquet(path).select("id", "root").distinct()

@@ -21,7 +21,7 @@ BUSINESS = frozenset(
 )
 _UNIT = re.compile(r"(?:\b(?:suite|ste|unit|apt|apartment|rm|room)\b[\s.#:-]*|#\s*)([0-9]{1,4}[a-z]?|[a-z][0-9]{0,3})\b")
 _ZIP = re.compile(r"(?<![\d-])(\d{5})(?:-\d{4})?(?![\d-])")
-_STATE = re.compile(r"\b(?:m\.\s?t\.?|mt|montana)(?=[\s,.:|-]|$)|\b(?:usa|u\.s\.a\.?|united states)\b")
+_STATE = re.compile(r"\b(?:m\.\s?t\.?|m t|mt|montana)(?=[\s,.:|-]|$)|\b(?:usa|u\.s\.a\.?|united states)\b")
 
 
 def fold(text: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopyard.llm import addresses, body, discovery, increments, linkage, mixing, residue, spans, tokenizer
-from hopyard.session import table
+from hopyard.session import materialize, table
 
 
 def _ranks() -> str:
@@ -50,12 +50,13 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     # Below zero, as a removed venue comes before every candidate.
     name = F.coalesce(F.nullif(F.trim("norm_name"), F.lit("")), F.col("name"))
     history.seed(gone.select((-F.col("tomb_no")).alias("id"), (-F.col("tomb_no")).alias("root"), name.alias("name"), F.col("norm_address").alias("address")))
-    rows = table(spark, folder, "candidate").select(F.col("cand_id").alias("id"), "name", "address", "batch_no")
+    rows = table(spark, folder, "candidate").select(F.col("cand_id").alias("id"), F.col("cand_id").alias("root"), "name", "address", "batch_no")
+    keys = materialize(increments.keyed(rows).join(rows.select("id", "batch_no"), "id"), "keys")
     # The number of batches, not of rows.
     batches = sorted(r[0] for r in rows.select("batch_no").distinct().collect() if r[0] is not None)
     found = None
     for n in batches:
-        roots = history.add(rows.where(F.col("batch_no") == n).drop("batch_no"))
+        roots = history.add_keyed(keys.where(F.col("batch_no") == n).drop("batch_no"))
         found = roots if found is None else found.unionByName(roots)
     return found.where("root <> id").select(F.abs("root").alias("first_id"), F.col("id").alias("cand_id"))
 
