@@ -163,20 +163,25 @@ class SpanIndex:
     def add(self, batch: DataFrame) -> DataFrame:
         """Take in a batch of (id, text) whose ids are new; its common spans with history and within itself:
         (a, b, start_a, start_b, length), a < b, all of full length."""
-        path = self._write(fingerprints(batch, self.span))
+        return self.verified(self.places(fingerprints(batch, self.span)))
+
+    def places(self, marks: DataFrame) -> DataFrame:
+        """Take in a batch's fingerprints; (a, b, places): where they meet those of history and each other. Not
+        verified yet, so that the texts can be read once for several batches."""
+        path = self._write(marks)
         new = self._read(path).select("h", F.col("id").alias("x"), F.col("at").alias("x_at"))
         old = new.select("h", F.col("x").alias("y"), F.col("x_at").alias("y_at"), F.lit(True).alias("own"))
         for _, p in self.runs:
             old = old.unionByName(self._read(p).select("h", F.col("id").alias("y"), F.col("at").alias("y_at"), F.lit(False).alias("own")))
         pairs = new.join(old.hint("merge"), "h").where((F.col("x") != F.col("y")) & (~F.col("own") | (F.col("x") < F.col("y"))))
         first = F.col("x") < F.col("y")
-        places = pairs.select(
+        met = pairs.select(
             F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"),
             F.struct(F.when(first, F.col("x_at")).otherwise(F.col("y_at")).alias("i"), F.when(first, F.col("y_at")).otherwise(F.col("x_at")).alias("j")).alias("at"),
         ).groupBy("a", "b").agg(F.collect_set("at").alias("places"))
         self.runs.append((0, path))
         self._compact()
-        return self._verified(materialize(places, "places"))
+        return materialize(met, "places")
 
     def _compact(self) -> None:
         for level in range(64):
@@ -186,7 +191,7 @@ class SpanIndex:
             merged = self._write(self.spark.read.parquet(*same))
             self.runs = [(k, p) for k, p in self.runs if k != level] + [(level + 1, merged)]
 
-    def _verified(self, places: DataFrame) -> DataFrame:
+    def verified(self, places: DataFrame) -> DataFrame:
         span, kind = self.span, dict(places.dtypes)["a"]
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,13 +229,16 @@ def shared_spans(df: DataFrame, key: str, text: str, batch: Column, batches: int
     """
     spark = df.sparkSession
     members = materialize(text_classes(df, key, text, span), "members")
-    entries = df.select(F.col(key).alias("id"), F.col(text).alias("text"), batch.alias("_batch")).join(members.where("id = first"), "id", "left_semi")
-    index = SpanIndex(spark, lambda: entries.select("id", "text"), span)
-    found = None
+    rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    # Copies are left out by their marks, which are a fraction of the texts.
+    copies = members.where("id <> first").select("id")
+    index = SpanIndex(spark, lambda: rows, span)
+    met = None
     for n in range(batches):
-        spans = materialize(index.add(entries.where(F.col("_batch") == n).select("id", "text")), "spans")
-        found = spans if found is None else found.unionByName(spans)
-    return found, members
+        marks = fingerprints(df.where(batch == n).select(F.col(key).alias("id"), F.col(text).alias("text")), span)
+        places = index.places(marks.join(copies, "id", "left_anti"))
+        met = places if met is None else met.unionByName(places)
+    return materialize(index.verified(met), "spans"), members
 
 
 def shared_pairs(spans: DataFrame, members: DataFrame) -> DataFrame:
