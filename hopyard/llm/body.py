@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ PRICE = re.compile(r"[$€£]\s?\d|\d\s?[€£]")
 INSIDE = re.compile(r"\b(?:content|main|article|post|entry|body)\b")
 
 
+@lru_cache(maxsize=1 << 16)
 def is_furniture(text: str) -> bool:
     return bool(FURNITURE.search(text))
 

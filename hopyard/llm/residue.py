@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,6 +40,8 @@ ERROR = re.compile(
     r"|page (?:est |demandée )?(?:introuvable|inexistante)|accès (?:refusé|interdit)|página no (?:encontrada|existe|disponible)|acceso (?:denegado|prohibido)|seite (?:wurde )?nicht (?:gefunden|verfügbar)|zugriff verweigert|service indisponible|servicio no disponible|nicht erreichbar|en mantenimiento|en maintenance|wartungsarbeiten|compte suspendu|cuenta suspendida|trop de requêtes|demasiadas solicitudes|zu viele anfragen",
     re.I,
 )
+#: One of these begins or stands in every match: a quick look before the search.
+_ERROR_HINT = re.compile(r"[45]\d\d|err|gate|forb|denie|deneg|prohib|block|suspend|domain|index|unavail|maint|mant|exception|uncaught|stream|trace|many|session|match|result|flat|page|brows|human|robot|moment|script|cookie|found|available|accès|página|seite|zugriff|indispo|no dispo|erreich|wartung|requêtes|solicitudes|anfragen", re.I)
 #: Lines beside an error message.
 BESIDE = re.compile(r"^(?:reference:|ray |request |if this goes on|try the|then reload|go back|apache|nginx|server at|.{0,40} server at |please try|error code|retry)", re.I)
 #: A page's text counts as real from so many characters of lines that are no evidence.
@@ -50,6 +53,7 @@ _FILLER_HINTS = ("test", "text", "copy", "content", "placeholder", "written by",
 _VALUES = ("undefined", "NaN", "None", "null", "nil", "NULL", "N/A")
 
 
+@lru_cache(maxsize=1 << 16)
 def is_filler(line: str) -> bool:
     low = line.lower()
     if any(h in low for h in _FILLER_HINTS) and FILLER.search(line):
@@ -64,9 +68,10 @@ def is_placeholder(line: str) -> bool:
     return bool(any(c in line for c in "{[<%#@_") and PLACEHOLDER.search(line) or any(v in line for v in _VALUES) and VALUE.search(line))
 
 
+@lru_cache(maxsize=1 << 16)
 def is_error(line: str) -> bool:
     """A short message; a long line that mentions errors is a text about something."""
-    return len(line) <= 140 and bool(ERROR.search(line))
+    return len(line) <= 140 and bool(_ERROR_HINT.search(line)) and bool(ERROR.search(line))
 
 
 def plain(line: str) -> str:
