@@ -76,7 +76,8 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, folder, "documents")
     sizes = tokenizer.count_tokens(docs, "doc_id", "text", _ranks())
-    rows = docs.select("doc_id", mixing.plain_label(F.col("source")).alias("source")).join(sizes, "doc_id")
+    # Counted once; what follows reads the counts several times.
+    rows = materialize(docs.select("doc_id", mixing.plain_label(F.col("source")).alias("source")).join(sizes, "doc_id"), "sizes")
     targets = table(spark, folder, "mix_target").withColumn("source", mixing.plain_label(F.col("source")))
     return mixing.mix(rows.select(F.col("doc_id").alias("id"), "source", F.col("n_tokens").alias("size")), targets)
 

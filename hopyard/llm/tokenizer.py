@@ -149,9 +149,9 @@ def fold_merges(word: Column, rank: Callable[[Column], Column]) -> Column:
     return F.transform(folded, rank)
 
 
-def _split(df: DataFrame, key: str, text: str, rank: Callable[[Column], Column]) -> DataFrame:
+def _split(df: DataFrame, key: str, text: str, rank: Callable[[Column], Column], ids: bool = True) -> DataFrame:
     """(_key, known, open): ``known`` holds the id of each word that is a token, null for another; ``open`` has the
-    places and bytes of these others.
+    places and bytes of these others. Without ``ids``, ``known`` is only the number of words.
 
     The split is written once, as three steps read it, and each would run it again; what they read is a fraction of
     the texts.
@@ -161,7 +161,7 @@ def _split(df: DataFrame, key: str, text: str, rank: Callable[[Column], Column])
         n = F.size(s["words"])
         at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
         places = F.filter(F.arrays_zip(at.alias("at"), s["words"].alias("word"), s["known"].alias("known")), lambda x: x["known"].isNull())
-        return F.struct(s["known"].alias("known"), F.transform(places, lambda x: F.struct(x["at"].alias("_at"), x["word"].alias("_word"))).alias("open"))
+        return F.struct((s["known"] if ids else n).alias("known"), F.transform(places, lambda x: F.struct(x["at"].alias("_at"), x["word"].alias("_word"))).alias("open"))
 
     split = _let(F.transform(words(F.col(text)), as_bytes), lambda w: F.struct(w.alias("words"), F.transform(w, rank).alias("known")))
     # The struct's fields are taken from the table read back, not here, where each would split the text again.
@@ -199,10 +199,10 @@ def count_tokens(df: DataFrame, key: str, text: str, ranks: str) -> DataFrame:
     """The number of tokens of each row's text: (key, n_tokens bigint); 0 for a null or empty text. As ``encode``, but
     only counts move."""
     rank = rank_map(ranks)
-    base = _split(df, key, text, rank)
+    base = _split(df, key, text, rank, ids=False)
     places = base.select("_key", F.explode("open._word").alias("_word")).groupBy("_key", "_word").agg(F.count(F.lit(1)).alias("_times"))
     more = places.join(_encoded_words(places, rank), "_word").groupBy("_key").agg(F.sum((F.size("_piece_ids") - 1) * F.col("_times")).alias("_more"))
-    n = F.size("known").cast("bigint") + F.coalesce("_more", F.lit(0))
+    n = F.col("known").cast("bigint") + F.coalesce("_more", F.lit(0))
     return base.select("_key", "known").join(more, "_key", "left").select(F.col("_key").alias(key), n.alias("n_tokens"))
 
 
