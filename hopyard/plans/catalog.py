@@ -50,3 +50,258 @@ def oracle_sql() -> dict[str, str]:
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     values = {"name": diff.clean_name(F.col("name")), "amenity": F.col("amenity")}
     return diff.snapshot_changes(table(spark, folder, "overpass"), "snapshot_no", "osm_key", "row_no", values)
+
+
+from hopyard.functions import hours, text  # noqa: E402
+from hopyard.operators import truth  # noqa: E402
+from hopyard.sources import in_box  # noqa: E402
+
+AS_OF = "2026-08-05T00:00:00Z"
+
+
+def _latest_hours(spark: SparkSession, folder: str) -> DataFrame:
+    """Each venue's newest filled hours and closing hours, and the specials of its newest observation with any."""
+    obs = table(spark, folder, "observation").where("venue_id <> 'unassigned'")
+    newest = lambda c, ok: F.max(F.when(ok, F.struct("observed_at", "obs_id", F.col(f"payload.{c}").alias("x")))).alias(c)
+    best = obs.groupBy("venue_id").agg(newest("hours", F.trim("payload.hours") != ""), newest("business_hours", F.trim("payload.business_hours") != ""), newest("specials", F.size("payload.specials") > 0))
+    return best.select("venue_id", F.col("hours.x").alias("hours"), F.col("business_hours.x").alias("business_hours"), F.col("specials.x").alias("specials"))
+
+
+def _status(spark: SparkSession, folder: str, now: str) -> DataFrame:
+    rows = _latest_hours(spark, folder)
+    return rows.withColumn("s", hours.status(F.col("hours"), F.col("business_hours"), F.lit(now).cast("timestamp")))
+
+
+def live_now(spark: SparkSession, folder: str, now: str = "2026-08-04 17:30:00") -> DataFrame:
+    """All venues by status: live ones by end, then soon ones by start, then by name; each with its cheapest deal."""
+    venues = table(spark, folder, "valid_base_config").select("id", "name")
+    deal = F.array_min(F.transform(F.filter("specials", lambda s: s["price"] > 0), lambda s: F.struct(s["price"], s["item"])))
+    rows = venues.join(_status(spark, folder, now), F.col("id") == F.col("venue_id"), "left").withColumn("deal", deal)
+    kind = F.coalesce("s.kind", F.lit("unknown"))
+    rank = F.when(kind == "live", 0).when(kind == "soon", 1).when(kind == "closed", 2).otherwise(3)
+    return rows.select("id", "name", kind.alias("kind"), F.col("s.end_min").alias("end_min"), F.col("s.next_start_min").alias("next_start_min"), F.col("deal.price").alias("deal_price"), F.col("deal.item").alias("deal_item")).orderBy(rank, F.coalesce("end_min", "next_start_min", F.lit(9999)), F.lower("name"), "id")
+
+
+@query()
+def status_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    return live_now(spark, folder)
+
+
+@query()
+def status_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return _status(spark, folder, "2026-08-04 17:30:00").groupBy(F.col("s.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def live_heatmap(spark: SparkSession, folder: str) -> DataFrame:
+    """Venues live at each half hour of an afternoon: a range join of windows and slots on the slot's minute."""
+    windows = _latest_hours(spark, folder).select("venue_id", F.explode(hours.parse_hours(F.col("hours"))).alias("w")).where(hours.day_in(F.lit(2), F.col("w.start_day"), F.col("w.end_day")))
+    slots = windows.select("venue_id", F.explode(F.filter(F.sequence(F.lit(840), F.lit(1290), F.lit(30)), lambda m: (m >= F.col("w.start_min")) & (m < F.col("w.end_min")))).alias("slot"))
+    return slots.groupBy("slot").agg(F.count_distinct("venue_id").alias("n"))
+
+
+@query("SELECT cand_id, name FROM candidate WHERE contains(lower(name), 'bar') AND list_contains(tags, 'trivia')")
+def search_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "candidate").where(F.contains(F.lower("name"), F.lit("bar")) & F.array_contains("tags", "trivia")).select("cand_id", "name")
+
+
+@query("SELECT cand_id FROM candidate WHERE list_has_any(tags, ['patio', 'brunch'])")
+def any_tag_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "candidate").where(F.arrays_overlap("tags", F.array(F.lit("patio"), F.lit("brunch")))).select("cand_id")
+
+
+@query("SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM candidate) GROUP BY tag")
+def tag_facets(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "candidate").select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """
+    SELECT venue_id, arg_min(item, k) AS item, min(price) AS price FROM (
+        SELECT venue_id, s.item AS item, s.price AS price, row(s.price, obs_id, s.item) AS k
+        FROM (SELECT venue_id, obs_id, unnest(payload.specials) AS s FROM observation) WHERE s.price > 0) GROUP BY venue_id
+    """
+)
+def cheapest_deal(spark: SparkSession, folder: str) -> DataFrame:
+    specials = table(spark, folder, "observation").select("venue_id", "obs_id", F.explode("payload.specials").alias("s")).where("s.price > 0")
+    best = specials.groupBy("venue_id").agg(F.min(F.struct("s.price", "obs_id", "s.item")).alias("b"))
+    return best.select("venue_id", "b.item", "b.price")
+
+
+@query(
+    r"""
+    SELECT obs_id, s.item AS item, CASE WHEN s.price > 0 THEN printf('$%.2f', s.price)
+        WHEN regexp_matches(lower(coalesce(s.description, '')), '% ?off|half[- ]price|discount|\$\d+ off|off ') THEN '—' ELSE 'FREE' END AS label
+    FROM (SELECT obs_id, unnest(payload.specials) AS s FROM observation)
+    """
+)
+def price_labels(spark: SparkSession, folder: str) -> DataFrame:
+    specials = table(spark, folder, "observation").select("obs_id", F.explode("payload.specials").alias("s"))
+    return specials.select("obs_id", "s.item", text.price_label(F.col("s.price"), F.col("s.description")).alias("label"))
+
+
+_NAME = r"trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(regexp_replace(strip_accents({0}), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')), '^the ', ''), '^a ', ''), '^an ', ''))"
+_NUMBER = r"regexp_extract(coalesce({0}, ''), '^\s*(\d+)', 1)"
+
+
+@query(f"SELECT cand_id, {_NAME.format('name')} AS norm, {_NUMBER.format('address')} AS number FROM candidate")
+def normalised(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "candidate").select("cand_id", text.norm_name(F.col("name")).alias("norm"), text.street_number(F.col("address")).alias("number"))
+
+
+@query(f"SELECT min(cand_id) AS cand_id, k FROM (SELECT cand_id, {_NAME.format('name')} || '|' || {_NUMBER.format('address')} AS k FROM candidate) WHERE k IS NOT NULL GROUP BY k")
+def dedup_first_wins(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.concat(text.norm_name(F.col("name")), F.lit("|"), text.street_number(F.col("address")))
+    return table(spark, folder, "candidate").withColumn("k", key).where("k is not null").groupBy("k").agg(F.min("cand_id").alias("cand_id"))
+
+
+@query(f"SELECT c.cand_id FROM candidate c WHERE NOT EXISTS (SELECT 1 FROM removed_venues r WHERE {_NAME.format('c.name')} = {_NAME.format('r.name')} AND {_NUMBER.format('c.address')} = {_NUMBER.format('r.norm_address')} AND {_NAME.format('c.name')} <> '')")
+def tombstone_anti(spark: SparkSession, folder: str) -> DataFrame:
+    gone = table(spark, folder, "removed_venues").select(text.norm_name(F.col("name")).alias("n"), text.street_number(F.col("norm_address")).alias("s")).where("n <> ''").distinct()
+    rows = table(spark, folder, "candidate").select("cand_id", text.norm_name(F.col("name")).alias("n"), text.street_number(F.col("address")).alias("s"))
+    return rows.join(gone, ["n", "s"], "left_anti").select("cand_id")
+
+
+@query(
+    """
+    WITH c AS (SELECT obs_id, venue_id, source_family, observed_at, unnest([{'f': 'business_status', 'v': payload.business_status}, {'f': 'hours', 'v': payload.hours},
+        {'f': 'business_hours', 'v': payload.business_hours}, {'f': 'address', 'v': payload.address}, {'f': 'phone', 'v': payload.phone}]) AS x FROM observation)
+    SELECT obs_id, venue_id, x.f AS field, x.v AS value FROM c WHERE trim(x.v) <> ''
+    """
+)
+def claims(spark: SparkSession, folder: str) -> DataFrame:
+    return truth.unpivot_claims(table(spark, folder, "observation")).select("obs_id", "venue_id", "field", "value")
+
+
+_VOTES = """
+    SELECT venue_id, field, source_family, arg_max(k, o) AS key, max(weight) AS weight FROM (
+        SELECT venue_id, field, source_family, left(lower(trim(value)), 200) AS k, weight, row(weight, -claim_id) AS o FROM claim WHERE value IS NOT NULL)
+    GROUP BY venue_id, field, source_family
+"""
+
+
+def _votes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "claim").where("value is not null").withColumn("key", truth.value_key(F.col("value")))
+    return truth.collapse_by_family(rows, "claim_id", "weight")
+
+
+@query(_VOTES)
+def family_votes(spark: SparkSession, folder: str) -> DataFrame:
+    return _votes(spark, folder)
+
+
+@query(
+    f"""
+    WITH v AS ({_VOTES}), g AS (SELECT venue_id, field, key, round(sum(weight), 6) AS w, bool_or(source_family IN ('own_site', 'human')) AS first_hand FROM v GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER q AS n, lead(w) OVER q AS second FROM g WINDOW q AS (PARTITION BY venue_id, field ORDER BY w DESC, key))
+    SELECT venue_id, field, key, w, CASE WHEN second IS NOT NULL AND round(w - second, 6) < 0.15 THEN 'conflicted' WHEN w >= 0.7 AND first_hand THEN 'verified' ELSE 'unverified' END AS kind
+    FROM r WHERE n = 1
+    """
+)
+def agreement(spark: SparkSession, folder: str) -> DataFrame:
+    return truth.agree(_votes(spark, folder))
+
+
+@query(
+    """
+    SELECT claim_id, round(CASE WHEN d <= t THEN 1.0 WHEN d >= 2 * t THEN 0.0 ELSE 1.0 - (d - t) / t END, 6) AS fresh FROM (
+        SELECT claim_id, CASE field WHEN 'hours' THEN 30 WHEN 'specials' THEN 21 WHEN 'business_status' THEN 14 WHEN 'business_hours' THEN 30 WHEN 'address' THEN 90 WHEN 'phone' THEN 90 ELSE 30 END AS t,
+               coalesce(greatest((epoch_us(TIMESTAMPTZ '2026-08-05 00:00:00+00') - epoch_us(try_cast(nullif(trim(observed_at), '') AS TIMESTAMPTZ))) / 86400e6, 0.0), 999.0) AS d FROM claim)
+    """
+)
+def claim_freshness(spark: SparkSession, folder: str) -> DataFrame:
+    days = truth.age_days(F.col("observed_at"), AS_OF)
+    return table(spark, folder, "claim").select("claim_id", F.round(text.freshness(days, truth.ttl(F.col("field"))), 6).alias("fresh"))
+
+
+@query("SELECT obs_id, venue_id, source_family FROM (SELECT *, row_number() OVER (PARTITION BY venue_id, source_family ORDER BY observed_at DESC NULLS LAST, obs_id DESC) AS n FROM observation) WHERE n <= 5")
+def retention_last_n(spark: SparkSession, folder: str) -> DataFrame:
+    order = [F.col("observed_at").desc_nulls_last(), F.desc("obs_id")]
+    return truth.last_n(table(spark, folder, "observation"), ["venue_id", "source_family"], order, 5).select("obs_id", "venue_id", "source_family")
+
+
+@query(
+    """
+    WITH f AS (SELECT url, row(fetched_at, page_id) AS stamp, coalesce(http_status BETWEEN 200 AND 299, false) AS ok FROM fetch_result WHERE url IS NOT NULL),
+    l AS (SELECT url, max(stamp) FILTER (WHERE ok) AS last FROM f GROUP BY url)
+    SELECT url, count(*) FILTER (WHERE NOT ok AND (last IS NULL OR stamp > last)) AS streak FROM f JOIN l USING (url) GROUP BY url
+    """
+)
+def failure_streak(spark: SparkSession, folder: str) -> DataFrame:
+    ok = F.coalesce(F.col("http_status").between(200, 299), F.lit(False))
+    return truth.failure_streak(table(spark, folder, "fetch_result").where("url is not null").select("url", "fetched_at", "page_id", "http_status"), "url", ["fetched_at", "page_id"], ok)
+
+
+@query("SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1) AS title FROM fetch_result WHERE html IS NOT NULL")
+def html_title(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "fetch_result").where("html is not null").select("page_id", F.regexp_extract("html", r"(?is)<title[^>]*>([^<]*)</title>", 1).alias("title"))
+
+
+@query(r"SELECT page_id, regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z]+://([^/:?#]+)', 1)), '^www\.', '') AS host FROM fetch_result")
+def page_host(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "fetch_result").select("page_id", text.host_of(F.col("url")).alias("host"))
+
+
+@query("SELECT id, id NOT SIMILAR TO '[a-z0-9-]+' AS bad_id, coalesce(trim(nickname), '') = '' AS no_nickname, len(coalesce(tags, [])) = 0 AS no_tags, coalesce(trim(address), '') = '' AS no_address FROM valid_base_config WHERE id NOT SIMILAR TO '[a-z0-9-]+' OR coalesce(trim(nickname), '') = '' OR len(coalesce(tags, [])) = 0 OR coalesce(trim(address), '') = ''")
+def rule_violations(spark: SparkSession, folder: str) -> DataFrame:
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    rules = {"bad_id": ~F.col("id").rlike("^[a-z0-9-]+$"), "no_nickname": blank("nickname"), "no_tags": F.coalesce(F.size("tags"), F.lit(0)) <= 0, "no_address": blank("address")}
+    return table(spark, folder, "valid_base_config").select("id", *[c.alias(n) for n, c in rules.items()]).where(" or ".join(rules))
+
+
+@query(
+    """
+    WITH x AS (SELECT venue_id, arg_max(payload.phone, row(observed_at, obs_id)) AS phone FROM observation WHERE trim(payload.phone) <> '' GROUP BY venue_id)
+    SELECT id, coalesce(nullif(trim(v.phone), ''), x.phone, '') AS phone FROM valid_base_config v LEFT JOIN x ON v.id = x.venue_id
+    """
+)
+def merge_keep_previous(spark: SparkSession, folder: str) -> DataFrame:
+    obs = table(spark, folder, "observation").where("trim(payload.phone) <> ''").groupBy("venue_id").agg(F.max(F.struct("observed_at", "obs_id", "payload.phone")).alias("b"))
+    seen = obs.select(F.col("venue_id").alias("id"), F.col("b.phone").alias("seen"))
+    return table(spark, folder, "valid_base_config").select("id", "phone").join(seen, "id", "left").select("id", F.coalesce(F.nullif(F.trim("phone"), F.lit("")), "seen", F.lit("")).alias("phone"))
+
+
+@query("SELECT DISTINCT venue_id FROM observation WHERE venue_id IS NOT NULL AND venue_id NOT IN (SELECT id FROM valid_base_config)")
+def id_parity(spark: SparkSession, folder: str) -> DataFrame:
+    ids = table(spark, folder, "valid_base_config").select(F.col("id").alias("venue_id"))
+    return table(spark, folder, "observation").select("venue_id").where("venue_id is not null").distinct().join(ids, "venue_id", "left_anti")
+
+
+@query(
+    """
+    WITH s AS (SELECT osm_key, max(row_no) FILTER (WHERE snapshot_no = 1) AS a, max(row_no) FILTER (WHERE snapshot_no = 2) AS b FROM overpass WHERE coalesce(osm_key, '') <> '' GROUP BY osm_key)
+    SELECT count(a) AS baseline, count(b) AS candidate, count(*) FILTER (WHERE b IS NULL AND a IS NOT NULL) AS missing, count(*) FILTER (WHERE a IS NULL AND b IS NOT NULL) AS fresh FROM s
+    """
+)
+def regression_counts(spark: SparkSession, folder: str) -> DataFrame:
+    at = lambda n: F.max(F.when(F.col("snapshot_no") == n, F.col("row_no")))
+    keys = table(spark, folder, "overpass").where("coalesce(osm_key, '') <> ''").groupBy("osm_key").agg(at(1).alias("a"), at(2).alias("b"))
+    return keys.agg(F.count("a").alias("baseline"), F.count("b").alias("candidate"), F.count_if(F.expr("b is null and a is not null")).alias("missing"), F.count_if(F.expr("a is null and b is not null")).alias("fresh"))
+
+
+@query("SELECT row_no, osm_key FROM overpass WHERE lat BETWEEN 45.5 AND 45.9 AND lon BETWEEN -111.5 AND -110.5 AND (amenity ILIKE '%bar%' OR amenity ILIKE '%pub%')")
+def bbox_scan(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "overpass")
+    return rows.where(in_box(F.col("lat"), F.col("lon"), 45.5, -111.5, 45.9, -110.5) & (F.col("amenity").ilike("%bar%") | F.col("amenity").ilike("%pub%"))).select("row_no", "osm_key")
+
+
+@query(
+    r"""
+    SELECT cand_id, list_filter([CASE WHEN regexp_matches(t, '\b(mon|mondays?)\b') THEN 1 END, CASE WHEN regexp_matches(t, '\b(tue|tuesdays?)\b') THEN 2 END, CASE WHEN regexp_matches(t, '\b(wed|wednesdays?)\b') THEN 3 END,
+        CASE WHEN regexp_matches(t, '\b(thu|thursdays?)\b') THEN 4 END, CASE WHEN regexp_matches(t, '\b(fri|fridays?)\b') THEN 5 END, CASE WHEN regexp_matches(t, '\b(sat|saturdays?)\b') THEN 6 END, CASE WHEN regexp_matches(t, '\b(sun|sundays?)\b') THEN 7 END], lambda x: x IS NOT NULL) AS days
+    FROM (SELECT cand_id, lower(coalesce(hh_summary, '')) AS t FROM candidate)
+    """
+)
+def weekday_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "candidate").select("cand_id", text.weekday_mentions(F.col("hh_summary")).alias("days"))
+
+
+@query("SELECT c_custkey, ((((c_custkey % 2147483647) * 16807) % 2147483647) - 1) / 2147483646.0 AS draw FROM customer WHERE c_custkey > 0")
+def seeded_pick(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "customer").where("c_custkey > 0").select("c_custkey", text.seeded_draw(F.col("c_custkey")).alias("draw"))
+
+
+@query()
+def entity_match_best(spark: SparkSession, folder: str) -> DataFrame:
+    pick = lambda t, i: table(spark, folder, t).select(F.col(i).alias("id"), "name", "address", "phone")
+    return truth.match_best(pick("valid_base_config", "config_no"), pick("overture_fixture", "place_no"))

@@ -1 +1,32 @@
-"""See the README for what this subpackage holds."""
+"""Readers of the formats the records come in."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+def read_json(spark: SparkSession, path: str, schema: StructType | str, strict: bool = False) -> DataFrame:
+    """JSON documents. Tolerant: a document that can't be read has nulls; strict: it raises."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
+
+
+def poi(raw: DataFrame) -> DataFrame:
+    """Points of interest from the nested layout (names, addresses, phones): first address with its town unless it
+    holds it, status open and confidence 0 where they are missing."""
+    first = F.get("addresses", F.lit(0))
+    free, town = first["freeform"], first["locality"]
+    address = F.when(free.isNull(), town).when(town.isNull() | F.contains(free, town), free).otherwise(F.concat_ws(", ", free, town))
+    return raw.select("id", F.col("names.primary").alias("name"), address.alias("address"), F.get("phones", F.lit(0)).alias("phone"), F.coalesce("operating_status", F.lit("open")).alias("operating_status"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.col("categories.primary").alias("category"))
+
+
+def in_box(lat: Column, lon: Column, south: float, west: float, north: float, east: float) -> Column:
+    """Inside a bounding box; pushed down to the scan as four comparisons."""
+    return lat.between(south, north) & lon.between(west, east)
+
+
+def salvage_json(text: Column) -> Column:
+    """The JSON in a text around it: a fenced block, else the outermost braces; null for none."""
+    fenced = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
+    return F.coalesce(fenced, F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit("")))
