@@ -1,8 +1,8 @@
 """Address records that denote the same location: a set-containment join.
 
 Addresses are cut into components; rows of the same components are one form. A form is indexed under its rarest
-tokens, by their frequency over all forms: two, as a slip of the pen makes a token rare by itself and would hide the
-form. Each form probes the index with all its tokens; a pair holds if the fuller form contains the sparer one by weight
+tokens, by their frequency over all forms: three, as a slip of the pen makes up to two tokens rare by itself and would
+hide the form. Each form probes the index with all its tokens; a pair holds if the fuller form contains the sparer one by weight
 and no component contradicts.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from hopyard.llm import places
 from hopyard.session import materialize
 
-INDEXED = 2
+INDEXED = 3
 CONTAINED = 0.8
 FIELDS = places.Address._fields
 _SCHEMA = ", ".join(f"{f} string" for f in FIELDS)

@@ -168,7 +168,8 @@ def phone_digits(text: str | None) -> str:
 
 
 def street_keys(a: Address) -> list[str]:
-    """Tokens of number and street of which a slip of the pen leaves one whole."""
+    """Tokens of number and street of which a slip of the pen leaves one whole: both ends, shorter in short words."""
     if a.street[:1].isdigit():
         return [f"{a.number}:{a.street}"]
-    return sorted({f"{a.number}:{a.street[:3]}", f"{a.number}:~{a.street[-3:]}"})
+    ends = [k for k, fits in ((1, len(a.street) <= 6), (3, len(a.street) >= 5)) if fits]
+    return sorted({x for k in ends for x in (f"{a.number}:{k}{a.street[:k]}", f"{a.number}:~{k}{a.street[-k:]}")})

@@ -28,8 +28,8 @@ PATTERN = r"(?U) ?\p{L}++|'(?:s|t|re|ve|m|ll|d)| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s
 
 BUCKETS = 8192
 NO_RANK = 2**31 - 1
-#: Stands between the pieces of a word; no byte has this character.
-MARK = "‹"
+#: Stand around the pieces of a word; no byte has these characters.
+LEFT, RIGHT = "‹", "›"
 #: Bytes from which on a word is folded by pairs instead of places.
 LONG = 128
 
@@ -111,13 +111,12 @@ def fold_places(word: Column, rank: Callable[[Column], Column]) -> Column:
 
 
 def fold_pairs(word: Column, rank: Callable[[Column], Column]) -> Column:
-    """The pieces of a byte string: a fold in which each round merges the pair of the lowest rank wherever it occurs.
-    For long words, as its rounds are bounded by the different merges. The pieces stand in a string with a mark between
-    them; of occurrences that overlap in a mark, the second waits for the next round, which changes nothing, as a pair
-    with a merged piece ranks after that piece."""
+    """The pieces of a byte string: a fold in which each round merges the pair of the lowest rank wherever it occurs,
+    from the left. For long words, as its rounds are bounded by the different merges. Each piece stands in a string
+    between two marks of its own, so that neighbouring pairs share none."""
 
     def pieces(marked: Column) -> Column:
-        return F.split(F.substring(marked, F.lit(2), F.length(marked) - 2), MARK)
+        return F.split(F.substring(marked, F.lit(2), F.length(marked) - 2), RIGHT + LEFT)
 
     def lowest(p: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(p) - 2)
@@ -128,16 +127,15 @@ def fold_pairs(word: Column, rank: Callable[[Column], Column]) -> Column:
 
     def merge(marked: Column, p: Column, m: Column) -> Column:
         a, b = F.get(p, m["at"]), F.get(p, m["at"] + 1)
-        mark = F.lit(MARK)
-        merged = F.replace(marked, F.concat(mark, a, mark, b, mark), F.concat(mark, a, b, mark))
-        return F.when(m["rank"] == NO_RANK, ended(marked)).otherwise(F.struct(merged.alias("marked"), F.lit(False).alias("done")))
+        pair, one = F.concat(F.lit(LEFT), a, F.lit(RIGHT + LEFT), b, F.lit(RIGHT)), F.concat(F.lit(LEFT), a, b, F.lit(RIGHT))
+        return F.when(m["rank"] == NO_RANK, ended(marked)).otherwise(F.struct(F.replace(marked, pair, one).alias("marked"), F.lit(False).alias("done")))
 
     def step(state: Column, _: Column) -> Column:
         marked = state["marked"]
         more = _let(pieces(marked), lambda p: F.when(F.size(p) < 2, ended(marked)).otherwise(_let(lowest(p), lambda m: merge(marked, p, m))))
         return F.when(state["done"], state).otherwise(more)
 
-    start = F.concat(F.lit(MARK), F.array_join(F.split(word, ""), MARK), F.lit(MARK))
+    start = F.concat(F.lit(LEFT), F.array_join(F.split(word, ""), RIGHT + LEFT), F.lit(RIGHT))
     return F.aggregate(
         F.sequence(F.lit(1), F.length(word)), F.struct(start.alias("marked"), F.lit(False).alias("done")), step, lambda state: pieces(state["marked"])
     )
