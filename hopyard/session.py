@@ -53,7 +53,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Preferred to ``checkpoint()``, which runs the plan twice and stores rows uncompressed.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
