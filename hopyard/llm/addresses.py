@@ -1,7 +1,8 @@
 """Address records that denote the same location: a set-containment join.
 
 Addresses are cut into components; rows of the same components are one form. A form is indexed under its rarest
-tokens, by their frequency over all forms: three, as a slip of the pen makes up to two tokens rare by itself and would
+tokens of number and street, by their frequency over all forms (whatever contains an address has these; towns, ZIPs
+and units are shared by far too many to be anyone's rarest): three, as a slip of the pen makes up to two tokens rare by itself and would
 hide the form. Each form probes the index with all its tokens; a pair holds if the fuller form contains the sparer one by weight
 and no component contradicts.
 """
@@ -37,9 +38,7 @@ def parsed(df: DataFrame) -> DataFrame:
 def _tokens(forms: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"token": [
-                [*places.street_keys(places.Address(*r)), *(f"{n}={v}" for n, v in zip(FIELDS[2:], r[2:]) if v)] for r in part[list(FIELDS)].itertuples(index=False)
-            ], "form": part["form"]})
+            yield pd.DataFrame({"token": [places.street_keys(places.Address(*r)) for r in part[list(FIELDS)].itertuples(index=False)], "form": part["form"]})
 
     return forms.mapInPandas(run, "token array<string>, form bigint").select("form", F.explode("token").alias("token"))
 
