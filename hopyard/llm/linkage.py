@@ -25,7 +25,9 @@ def _keyed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for form, name, address, phone in zip(part["form"], part["name"], part["address"], part["phone"]):
             own, kind = places.name_words(name)
             a, p = places.parse_address(address), places.phone_digits(phone)
-            blocks = [f"p{p[-7:]}"] if p else []
+            blocks = [f"p{p}"] if len(p) == 10 else []
+            # Seven digits are shared by many; with initials they find numbers given without their area.
+            blocks += [f"q{p[-7:]}{own[0][0]}{own[-1][0]}"] if p and own else []
             blocks += [f"a{k}" for k in places.street_keys(a)] if a else []
             # Names alone say too little; with the town, or the first letters of the street, they find what misses a number.
             if own and a:
