@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopyard.operators import diff
+from hopyard.functions import hours, text
+from hopyard.operators import diff, truth
 from hopyard.session import table
+from hopyard.sources import in_box
+
+AS_OF = "2026-08-05T00:00:00Z"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,13 +56,6 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return diff.snapshot_changes(table(spark, folder, "overpass"), "snapshot_no", "osm_key", "row_no", values)
 
 
-from hopyard.functions import hours, text  # noqa: E402
-from hopyard.operators import truth  # noqa: E402
-from hopyard.sources import in_box  # noqa: E402
-
-AS_OF = "2026-08-05T00:00:00Z"
-
-
 def _latest_hours(spark: SparkSession, folder: str) -> DataFrame:
     """Each venue's newest filled hours and closing hours, and the specials of its newest observation with any."""
     obs = table(spark, folder, "observation").where("venue_id <> 'unassigned'")
