@@ -103,6 +103,10 @@ class _Reader(HTMLParser):
 def read(html: str) -> Page:
     """The page's text events. Never fails: what the parser can't go on with ends the page there."""
     reader = _Reader()
+    # A comment that is never closed hides the rest.
+    start = html.rfind("<!--")
+    if start > html.rfind("-->") and "</script" not in html[start:].lower():
+        html = html[:start]
     try:
         reader.feed(html)
         reader.close()
