@@ -48,15 +48,17 @@ BESIDE = re.compile(r"^(?:reference:|ray |request |if this goes on|try the|then
 REAL = 160
 
 
-#: One of these stands in every match of the pattern: a quick look before the search.
-_FILLER_HINTS = ("test", "text", "copy", "content", "placeholder", "written by", "goes here", "headline", "title", "desc", "tagline", "replace", "item name", "coming soon", "escriba", "hier ", "blind", "platz", "delete this")
+#: One of these stands in every match of FILLER: a quick look before the search. In _FOLDED are the letters that a search
+#: without case takes for an i or s, and lower() doesn't.
+_FILLER_HINTS = ("test", "text", "copy", "content", "placeholder", "written by", "goes here", "headline", "title", "desc", "tagline", "replace", "item name", "coming soon", "escriba", "hier ", "blind", "platz", "delete this", "just another", "saisissez")
+_FOLDED = "İıſ"
 _VALUES = ("undefined", "NaN", "None", "null", "nil", "NULL", "N/A")
 
 
 @lru_cache(maxsize=1 << 16)
 def is_filler(line: str) -> bool:
     low = line.lower()
-    if any(h in low for h in _FILLER_HINTS) and FILLER.search(line):
+    if (any(h in low for h in _FILLER_HINTS) or any(c in line for c in _FOLDED)) and FILLER.search(line):
         return True
     words = re.findall(r"[a-z]+", low)
     if len(words) >= 4 and sum(w in LATIN for w in words) >= 0.6 * len(words):

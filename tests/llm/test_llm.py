@@ -153,3 +153,18 @@ def test_residue_pages(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
     assert {r.page_id for r in residue.residue_pages(df, "page_id", "url", "html").collect()} == {2, 3, 8, 9}
     assert residue.residue_pages(df.limit(0), "page_id", "url", "html").count() == 0
+
+
+def test_every_branch_of_filler():
+    lines = [
+        "a test test of it", "Just another demo site: edit or remove this first entry", "just another test page", "placeholder paragraph", "to be written by the owner", "Describe this venue in a few words", "Delete this block", "delete this line", "delete this paragraph",
+        *[f"{kind} {what}" for kind in ("dummy", "placeholder", "filler", "sample", "example") for what in ("copy", "text", "content")],
+        *[f"{what} goes here" for what in ("text", "copy", "headline", "title", "description", "content", "story")],
+        *[f"{verb} your {what}" for verb in ("add", "insert", "enter", "write", "type") for what in ("headline", "title", "text", "copy", "description", "tagline", "content")], "Your headline",
+        "Item name, item description", "replace it with", "replace this with", "replace me with", "coming soon: text", "coming soon copy", "texto de ejemplo", "texto de relleno", "texto de muestra", "escriba aquí",
+        "texte d'exemple", "texte de remplissage", "texte factice", "votre texte ici", "Saisissez votre adresse", "ici votre texte", "Blindtext", "Platzhalter", "Beispieltext", "Mustertext", "Ihr Text", "hier steht",
+    ]
+    lines += [x.replace("i", c).replace("s", s) for x in lines for c, s in ("iſ", "ıs", "İs")]
+    assert [x for x in lines if residue.FILLER.search(x) and not residue.is_filler(x)] == []
+    assert all(map(residue.FILLER.search, lines))
+    assert not residue.is_filler("Just another night at the Fox")
