@@ -4,7 +4,9 @@ match and non-match probabilities, posterior as confidence."""
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,34 +18,51 @@ from hopyard.session import materialize
 ROUNDS = 30
 #: Levels of agreement of an attribute: it differs, is missing on a side, agrees in part, agrees.
 DIFFERS, MISSING, PARTLY, AGREES = range(4)
-_KEYS = "own array<string>, kind array<string>, address struct<number string, street string, direction string, type string, unit string, town string, zip string>, phone string, blocks array<string>"
+_KEYS = "own array<string>, kind array<string>, address struct<number string, street string, direction string, type string, unit string, town string, zip string>, phone string, blocks array<string>, short array<string>, names array<int>"
 
 
-def _keyed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _short(own: tuple, bare: bool, phone: str, right: bool) -> list[str]:
+    """Blocks of seven digits, in which the pairs meet that no other block is sure to find: those with an address blank
+    on a side and a phone of seven digits on a side. Both sides name the pair of kinds that meets."""
+    if not phone or not own:
+        return []
+    kind = lambda seven, bare: 2 * seven + bare
+    seven = len(phone) == 7
+    others = [kind(s, b) for s in (False, True) for b in (False, True) if (seven or s) and (bare or b)]
+    return [f"{phone[-7:]}:{o}{kind(seven, bare)}" if right else f"{phone[-7:]}:{kind(seven, bare)}{o}" for o in others]
+
+
+def _keyed(parts: Iterator[pd.DataFrame], right: bool) -> Iterator[pd.DataFrame]:
     for part in parts:
         rows = []
         for form, name, address, phone in zip(part["form"], part["name"], part["address"], part["phone"]):
             own, kind = places.name_words(name)
             a, p = places.parse_address(address), places.phone_digits(phone)
             blocks = [f"p{p}"] if len(p) == 10 else []
-            # Seven digits are shared by many; with initials they find numbers given without their area.
+            # Seven digits are shared by many; with initials they find numbers given without their area. Where no address
+            # helps, names of other initials meet in ``short``.
             blocks += [f"q{p[-7:]}{own[0][0]}{own[-1][0]}"] if p and own else []
             blocks += [f"a{k}" for k in places.street_keys(a)] if a else []
             # Names alone say too little; with the town, or the first letters of the street, they find what misses a number.
             if own and a:
                 blocks += [f"n{own[0][:4]}{own[-1][-3:]}:{a.number}"]
-            rows.append((form, list(own), list(kind), a._asdict() if a else None, p, blocks))
-        yield pd.DataFrame(rows, columns=["form", "own", "kind", "address", "phone", "blocks"])
+            short = _short(own, a is None, p, right)
+            names = [zlib.crc32(k.encode()) >> 1 for k in places.name_keys(own, right)] if short else []
+            rows.append((form, list(own), list(kind), a._asdict() if a else None, p, blocks, short, names))
+        yield pd.DataFrame(rows, columns=["form", "own", "kind", "address", "phone", "blocks", "short", "names"])
 
 
-def forms(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct (name, address, phone) with their parts and blocks, and (id, form) of each row with two or more of them."""
+def forms(df: DataFrame, right: bool) -> tuple[DataFrame, DataFrame]:
+    """Distinct (name, address, phone) with their parts and blocks, and (id, form) of each row with two or more of them.
+
+    :param right: whether the rows are the right side of the pairs.
+    """
     text = lambda c: F.nullif(F.trim(F.regexp_replace(F.col(c), r"(?U)\s+", " ")), F.lit(""))
     rows = df.select("id", *[text(c).alias(c) for c in ("name", "address", "phone")])
     rows = rows.where(sum(F.col(c).isNotNull().cast("int") for c in ("name", "address", "phone")) >= 2)
     rows = rows.withColumn("form", F.xxhash64("name", "address", "phone", F.col("name").isNull(), F.col("address").isNull(), F.col("phone").isNull()))
     distinct = rows.dropDuplicates(["form"]).select("form", "name", "address", "phone")
-    return materialize(distinct.mapInPandas(_keyed, f"form bigint, {_KEYS}"), "forms"), rows.select("id", "form")
+    return materialize(distinct.mapInPandas(partial(_keyed, right=right), f"form bigint, {_KEYS}"), "forms"), rows.select("id", "form")
 
 
 def levels(x: dict, y: dict) -> tuple[int, int, int]:
@@ -109,10 +128,12 @@ def link(left: DataFrame, right: DataFrame, confidence: float = 0.5) -> DataFram
     :param left: (id, name, address, phone); ``right`` likewise. Rows with fewer than two of these non-blank have no
         partner. Rows that are equal in all three are compared once. Each table may hold several rows of one place.
     """
-    lf, lm = forms(left)
-    rf, rm = forms(right)
+    lf, lm = forms(left, False)
+    rf, rm = forms(right, True)
     lb, rb = (f.select(F.col("form").alias(c), F.explode("blocks").alias("block")) for f, c in ((lf, "x"), (rf, "y")))
-    pairs = lb.join(rb, "block").select("x", "y").distinct()
+    ls, rs = (f.select(F.col("form").alias(c), F.explode("short").alias("block"), F.col("names").alias(f"{c}_n")) for f, c in ((lf, "x"), (rf, "y")))
+    short = ls.join(rs, "block").where(F.arrays_overlap("x_n", "y_n"))
+    pairs = lb.join(rb, "block").select("x", "y").unionByName(short.select("x", "y")).distinct()
     side = lambda f, c: f.select(F.col("form").alias(c), F.struct("own", "address", "phone").alias(f"{c}_r"))
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -173,3 +173,29 @@ def street_keys(a: Address) -> list[str]:
         return [f"{a.number}:{a.street}"]
     ends = [k for k, fits in ((1, len(a.street) <= 6), (3, len(a.street) >= 5)) if fits]
     return sorted({x for k in ends for x in (f"{a.number}:{k}{a.street[:k]}", f"{a.number}:~{k}{a.street[-k:]}")})
+
+
+def word_keys(word: str) -> list[str]:
+    """Keys of which two words that are ``close`` have one in common. One slip leaves two letters at an end whole (one
+    in words of up to four letters); where two slips spoil both ends, the pairs of letters after the second to fourth
+    hold one that is whole, as they are moved by one place at most."""
+    n = len(word)
+    ends = [k for k, fits in ((1, n <= 4), (2, n >= 4)) if fits]
+    keys = [x for k in ends for x in (f"<{k}{word[:k]}", f">{k}{word[-k:]}")]
+    if n == 1:
+        keys.append("*")  # Any two single letters are one slip apart.
+    elif n == 2:
+        keys.append("~" + "".join(sorted(word)))
+    elif n >= 8:
+        keys += [f"-{word[i : i + 2]}" for i in (2, 3, 4)]
+    return keys
+
+
+def name_keys(own: tuple[str, ...], right: bool) -> list[str]:
+    """Keys of which a name of the left and one of the right side have one in common if they are the ``same_name`` or a
+    word of one is ``close`` to a word of the other."""
+    keys = {k for w in (*own, "".join(own)) for k in word_keys(w)}
+    if len(own) > 1:
+        # An initial on one side stands for the word on the other: each side names its word for the other's initial.
+        keys |= {f"{'l' if right else 'r'}{own[0][0]}"} | ({f"{'r' if right else 'l'}{own[0]}"} if len(own[0]) == 1 else set())
+    return sorted(keys)

@@ -168,3 +168,21 @@ def test_every_branch_of_filler():
     assert [x for x in lines if residue.FILLER.search(x) and not residue.is_filler(x)] == []
     assert all(map(residue.FILLER.search, lines))
     assert not residue.is_filler("Just another night at the Fox")
+
+
+def test_short_phones_without_address_equal_all_pairs(spark):
+    rng = random.Random(5)
+    names = [
+        "Nevumvick Mitten Cafe", "Nevumvick Mitten Caffe", "Kesitdale Marmot Smoke House", "Kesitdale Marmot BBQ", "The Marmot Kesitdale", "Red Fox", "Fox Red", "Redfox", "Rde Fox", "Der Fox", "R F", "Red F", "J Smith", "Jon S", "K S",
+        "Ab Co", "Ba", "A", "B", "Brandywine", "rBandywien", "Barndywnie", "Xrandywinex", "Blue Owl", "Bleu Owls", "21 Club", "Pub", "Bar", None, "",
+    ]
+    some = lambda k: [(k + i, n, rng.choice([None, "", "12 Oak St", "40 Elm Rd, Town"]), rng.choice(["555-1227", "206-555-1227", "(406) 555 1227", "555-9999"])) for i, n in enumerate(names * 5)]
+    left, right = some(0), some(1000)
+    cols = "id long, name string, address string, phone string"
+    got = {(r.left_id, r.right_id) for r in linkage.link(spark.createDataFrame(left, cols), spark.createDataFrame(right, cols), confidence=0.0).collect()}
+
+    def parts(rows):
+        return [(k, dict(own=places.name_words(n)[0], address=a._asdict() if (a := places.parse_address(t)) else None, phone=places.phone_digits(p)), sum(bool(v) for v in (n, t, p))) for k, n, t, p in rows]
+
+    want = {(i, j) for (i, x, m), (j, y, n) in itertools.product(parts(left), parts(right)) if min(m, n) >= 2 and linkage.holds(linkage.levels(x, y))}
+    assert got == want
