@@ -117,16 +117,30 @@ def _same(a: str, b: str) -> int:
     return low
 
 
+def _cover(at: np.ndarray, k: int) -> np.ndarray:
+    """Of the places ``at`` of windows of ``k``, in order, so many that their windows cover what all of them cover."""
+    kept, i = [], 0
+    while i < len(at):
+        kept.append(int(at[i]))
+        # The last that still touches this one, or the next after a gap.
+        i = max(int(np.searchsorted(at, at[i] + k, "right")) - 1, i + 1)
+    return np.array(kept, np.int64)
+
+
 def _common_windows(a: str, b: str, k: int) -> list[tuple[int, int]]:
-    """Places of the windows of ``k`` code points that both have, the first of each."""
+    """Places of windows of ``k`` code points that both have, each with the first place in the other: on either side the
+    windows cover all that the common windows cover."""
     powers = _Powers()
-    (x, i), (y, j) = (np.unique(window_hashes(t, k, powers), return_index=True) for t in (a, b))
-    _, p, q = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    return list(zip(i[p].tolist(), j[q].tolist()))
+    x, y = (window_hashes(t, k, powers) for t in (a, b))
+    (u, i), (v, j) = (np.unique(h, return_index=True) for h in (x, y))
+    in_a, in_b = _cover(np.flatnonzero(np.isin(x, v)), k), _cover(np.flatnonzero(np.isin(y, u)), k)
+    pairs = list(zip(in_a.tolist(), j[np.searchsorted(v, x[in_a])].tolist()))
+    return pairs + list(zip(i[np.searchsorted(u, y[in_b])].tolist(), in_b.tolist()))
 
 
 def grow(a: str, b: str, places: list[tuple[int, int]], span: int) -> list[tuple[int, int, int]]:
-    """(start in a, start in b, length) of the common spans of ``span`` or more that hold one of the places."""
+    """(start in a, start in b, length) of the common spans of ``span`` or more that hold one of the places. They cover
+    every place of either text that stands in the other, not every pair of places where one of them is -1."""
     found: list[tuple[int, int, int]] = []
     ends: dict[int, int] = {}
     if any(min(p) < 0 for p in places):
@@ -134,8 +148,9 @@ def grow(a: str, b: str, places: list[tuple[int, int]], span: int) -> list[tuple
     for i, j in sorted(places):
         if i < ends.get(i - j, -1) or a[i : i + WINDOW] != b[j : j + WINDOW]:
             continue
-        right = _same(a[i:], b[j:])
-        left = _same(a[:i][::-1], b[:j][::-1])
+        most, least = min(len(a) - i, len(b) - j), min(i, j)
+        right = _same(a[i : i + most], b[j : j + most])
+        left = _same(a[i - least : i][::-1], b[j - least : j][::-1])
         ends[i - j] = i + right
         if left + right >= span:
             found.append((i - left, j - left, left + right))

@@ -186,3 +186,19 @@ def test_short_phones_without_address_equal_all_pairs(spark):
 
     want = {(i, j) for (i, x, m), (j, y, n) in itertools.product(parts(left), parts(right)) if min(m, n) >= 2 and linkage.holds(linkage.levels(x, y))}
     assert got == want
+
+
+def test_extent_counts_every_copy_in_a_text(spark):
+    rng = random.Random(6)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnop qrstuvwxyz") for _ in range(k))
+    one, two = word(300), word(260)
+    many = lambda p, n: "".join(p + word(80) for _ in range(n))
+    docs = [many(one, 30) + "-" * 500, word(50) + one + word(50), many(two, 20), word(9) + two, many(one, 21) + two, "-" * 700 + word(40) + "-" * 210, word(700), one[:250] * 25]
+    df = spark.createDataFrame(list(enumerate(docs)), "id long, text string")
+    got = {r.id: r.shared_chars for r in spans.shared_extent(df, "id", "text", *spans.shared_spans(df, "id", "text", (F.col("id") % 2).cast("int"), 2)).collect()}
+    want = {}
+    for i, a in enumerate(docs):
+        others = {b[k : k + 200] for j, b in enumerate(docs) if j != i for k in range(len(b) - 199)}
+        want[i] = len({p for k in range(len(a) - 199) if a[k : k + 200] in others for p in range(k, k + 200)})
+    assert got == want and got[0] >= 9500
+    assert spans.grow("-" * 30_000, "-" * 40_000, [(-1, -1)], 200)
