@@ -3,7 +3,7 @@
 Addresses are cut into components; rows of the same components are one form. A form is indexed under its rarest
 tokens of number and street, by their frequency over all forms (whatever contains an address has these; towns, ZIPs
 and units are shared by far too many to be anyone's rarest): three, as a slip of the pen makes up to two tokens rare by itself and would
-hide the form. Each form probes the index with all its tokens; a pair holds if the fuller form contains the sparer one by weight
+hide the form. Each form probes the index with all its tokens; a pair holds if either form contains, by weight, what both name
 and no component contradicts.
 """
 
@@ -67,10 +67,10 @@ def _weight(name: str) -> float:
 
 
 def contains(a: places.Address, b: places.Address) -> bool:
-    """The fuller of two addresses has the components of the sparer one: ``CONTAINED`` of their weight or more."""
-    full, spare = (a, b) if sum(map(bool, a)) >= sum(map(bool, b)) else (b, a)
-    total = sum(_weight(n) for n, v in zip(FIELDS, spare) if v)
-    held = sum(_weight(n) for n, v, w in zip(FIELDS, spare, full) if v and places.close(v, w))
+    """Two addresses have the components that both name in common: ``CONTAINED`` of their weight or more. What is missing
+    on a side is no difference."""
+    total = sum(_weight(n) for n, v, w in zip(FIELDS, a, b) if v and w)
+    held = sum(_weight(n) for n, v, w in zip(FIELDS, a, b) if v and w and places.close(v, w))
     return held >= CONTAINED * total
 
 

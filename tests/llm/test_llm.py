@@ -202,3 +202,12 @@ def test_extent_counts_every_copy_in_a_text(spark):
         want[i] = len({p for k in range(len(a) - 199) if a[k : k + 200] in others for p in range(k, k + 200)})
     assert got == want and got[0] >= 9500
     assert spans.grow("-" * 30_000, "-" * 40_000, [(-1, -1)], 200)
+
+
+def test_address_join_takes_missing_components_for_no_difference(spark):
+    pairs = [("12 N Oak St #4", "12 Oak St, Town, MT 10001"), ("12 N Oak #4", "12 Oak St, Town, MT 10001"), ("7 Elm, Unit 3", "7 S Elm Rd, Here, MT 10002"), ("9 W Ash Ln # 2", "9 Ash, There 10003")]
+    df = spark.createDataFrame([(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)], "id long, address string")
+    got = {(r.rec_a, r.rec_b) for r in addresses.expand(*addresses.same_location(df)).collect()}
+    parsed = {r.id: places.parse_address(r.address) for r in df.collect()}
+    want = {(i, j) for i, j in itertools.combinations(sorted(parsed), 2) if places.same_location(parsed[i], parsed[j])}
+    assert got == want and {(0, 1), (1, 2), (4, 5), (6, 7)} <= want
