@@ -18,6 +18,8 @@ def _ranks() -> str:
 
 
 AS_OF = "2026-08-05T00:00:00Z"
+#: One more than makes a compacted run, so that the last batch meets one.
+BATCHES = spans.FANOUT + 1
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,7 +94,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def _spans(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = table(spark, folder, "documents")
-    found, members = spans.shared_spans(docs, "doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(3)).cast("int"), 3)
+    found, members = spans.shared_spans(docs, "doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES)).cast("int"), BATCHES)
     return docs, found, members
 
 

@@ -211,3 +211,25 @@ def test_address_join_takes_missing_components_for_no_difference(spark):
     parsed = {r.id: places.parse_address(r.address) for r in df.collect()}
     want = {(i, j) for i, j in itertools.combinations(sorted(parsed), 2) if places.same_location(parsed[i], parsed[j])}
     assert got == want and {(0, 1), (1, 2), (4, 5), (6, 7)} <= want
+
+
+def test_spans_against_a_compacted_run(spark, tmp_path, monkeypatch):
+    from hopyard.llm import queries
+
+    rng = random.Random(7)
+    word = lambda k: "".join(rng.choice("abcdefgh é") for _ in range(k))
+    shared = [word(220) for _ in range(4)]
+    docs = [word(30) + shared[i % 4] + word(i) if i % 3 else word(300) for i in range(60)]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    met = []
+    places_of = spans.SpanIndex.places
+
+    def watched(self, marks):
+        met.append(max((k for k, _ in self.runs), default=0))
+        return places_of(self, marks)
+
+    monkeypatch.setattr(spans.SpanIndex, "places", watched)
+    got = {(r.doc_a, r.doc_b) for r in queries.p10_found(spark, str(tmp_path)).collect()}
+    assert got == {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(docs), 2) if _longest(a, b, 200)}
+    # A batch was matched against a run that four were merged into.
+    assert met[-1] >= 1
