@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 from hopyard.llm import places
 from hopyard.session import materialize
 
-ROUNDS = 6
+#: The estimate has settled when no family's trust changes by more in a round; the bound is far beyond what that takes.
+SETTLED = 1e-4
+ROUNDS = 100
 #: Days in which a vote loses half its force.
 HALF_LIFE = 30.0
 #: What stands where a value is missing.
@@ -135,15 +138,24 @@ def surviving(df: DataFrame, as_of: str) -> DataFrame:
     votes = families.withColumn("_n", F.row_number().over(newest)).where("_n = 1")
     votes = materialize(votes.select("v", "f", F.coalesce("source_family", F.lit("")).alias("family"), "whole", F.col("last.force").alias("force"), F.col("last.seen").alias("seen")), "votes")
     trust = votes.select("family").distinct().withColumn("trust", F.lit(0.7))
-    for i in range(ROUNDS):
-        # Support of each value; how often each family's vote is for a supported one.
+
+    def supported(trust: DataFrame) -> DataFrame:
         sure = F.ln((F.col("trust") + 0.02) / (1.02 - F.col("trust"))) + 2.0
         scored = votes.join(trust, "family").withColumn("s", F.greatest(sure, F.lit(0.05)) * F.col("force"))
         support = scored.groupBy("v", "f", "whole").agg(F.sum("s").alias("s"), F.max("seen").alias("seen"))
-        share = support.withColumn("p", F.col("s") / F.sum("s").over(Window.partitionBy("v", "f")))
-        if i < ROUNDS - 1:
-            got = votes.join(share.select("v", "f", "whole", "p"), ["v", "f", "whole"]).groupBy("family").agg(((F.sum("p") + 1.4) / (F.count(F.lit(1)) + 2)).alias("trust"))
-            trust = materialize(got, "trust")
+        return support.withColumn("p", F.col("s") / F.sum("s").over(Window.partitionBy("v", "f")))
+
+    for _ in range(ROUNDS):
+        # Support of each value; how often each family's vote is for a supported one.
+        share = supported(trust).select("v", "f", "whole", "p")
+        got = votes.join(share, ["v", "f", "whole"]).groupBy("family").agg(((F.sum("p") + 1.4) / (F.count(F.lit(1)) + 2)).alias("trust"))
+        before, trust = trust.withColumnRenamed("trust", "before"), materialize(got, "trust")
+        change = trust.join(before, "family").agg(F.max(F.abs(F.col("trust") - F.col("before")))).first()[0]
+        if (change or 0.0) < SETTLED:
+            break
+    else:
+        warnings.warn(f"trust still changes by {change:.2g} after {ROUNDS} rounds", stacklevel=2)
+    share = supported(trust)
     first = Window.partitionBy("v", "f").orderBy(F.desc("s"), F.desc("seen"), "whole")
     chosen = share.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("v", "f", "whole")
     held = valued.join(chosen, ["v", "f", "whole"])

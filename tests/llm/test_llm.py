@@ -233,3 +233,23 @@ def test_spans_against_a_compacted_run(spark, tmp_path, monkeypatch):
     assert got == {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(docs), 2) if _longest(a, b, 200)}
     # A batch was matched against a run that four were merged into.
     assert met[-1] >= 1
+
+
+def test_trust_is_followed_until_it_settles(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(n * 10 + k, f"v{n}", "noise", f'"{rng.choice("ab")}{n}"', "2026-08-01T00:00:00Z", f, 0.5) for n in range(40) for k, f in enumerate("pqrs") if rng.random() < 0.6]
+    df = spark.createDataFrame(rows, "claim_id long, venue_id string, field string, value string, observed_at string, source_family string, weight double")
+    seen = []
+
+    def watched(frame, name, write=discovery.materialize):
+        out = write(frame, name)
+        if name == "trust":
+            seen.append({r.family: r.trust for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(discovery, "materialize", watched)
+    discovery.surviving(df, "2026-08-05T00:00:00Z").count()
+    assert max(abs(seen[-1][f] - seen[-2][f]) for f in seen[-1]) < 1e-4
+    monkeypatch.setattr(discovery, "ROUNDS", 2)
+    with pytest.warns(UserWarning, match="after 2 rounds"):
+        discovery.surviving(df, "2026-08-05T00:00:00Z")
