@@ -132,10 +132,14 @@ class History:
         links = materialize(firsts.groupBy("span").cogroup(known.groupBy("span")).applyInPandas(_windows, "form bigint, other bigint, known boolean"), "links")
         best = links.groupBy("form").agg(F.min(F.when(F.col("known"), F.col("other"))).alias("old"), F.min(F.when(~F.col("known"), F.col("other"))).alias("near"))
         best = new.select("id", form.alias("form")).distinct().join(best, "form", "left").select("id", "old", F.least("near", "id").alias("near"))
-        # A row may repeat a row of its own batch that repeats another: follow twice.
-        for _ in range(2):
+        # A row may repeat a row of its own batch that repeats another: follow until nothing changes, in steps that double.
+        best, moved = materialize(best, "roots"), 1
+        while moved:
             up = best.select(F.col("id").alias("near"), F.col("old").alias("old2"), F.col("near").alias("near2"))
-            best = best.join(up, "near", "left").select("id", F.least("old", "old2").alias("old"), F.least("near", "near2").alias("near"))
+            old, near = F.least("old", "old2"), F.least("near", "near2")
+            best = materialize(best.join(up, "near", "left").select("id", old.alias("old"), near.alias("near"), (~old.eqNullSafe(F.col("old")) | (near != F.col("near"))).alias("moved")), "roots")
+            moved = best.where("moved").count()
+            best = best.drop("moved")
         rooted = new.drop("root").join(best, "id", "left").withColumn("root", F.coalesce("old", "near", "id"))
         path = self._append(rooted.select(*new.columns))
         return self.spark.read.schema(new.schema).parquet(path).select("id", "root").distinct()

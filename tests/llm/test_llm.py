@@ -253,3 +253,16 @@ def test_trust_is_followed_until_it_settles(spark, monkeypatch):
     monkeypatch.setattr(discovery, "ROUNDS", 2)
     with pytest.warns(UserWarning, match="after 2 rounds"):
         discovery.surviving(df, "2026-08-05T00:00:00Z")
+
+
+def test_a_long_chain_in_one_batch_has_one_root(spark):
+    names = ["abcdefg"]
+    for i in range(7):
+        names.append(names[-1][:i] + "x" + names[-1][i + 1 :])
+    rows = [(i + 1, n, "5 Oak St, Town") for i, n in enumerate(names)]
+    h = increments.History(spark)
+    first = h.add(spark.createDataFrame(rows, "id long, name string, address string"))
+    assert {(r.id, r.root) for r in first.collect()} == {(i, 1) for i in range(1, 9)}
+    seeded = increments.History(spark)
+    seeded.seed(spark.createDataFrame([(-3, -3, names[0], "5 oak st")], "id long, root long, name string, address string"))
+    assert {r.root for r in seeded.add(spark.createDataFrame(rows, "id long, name string, address string")).collect()} == {-3}
