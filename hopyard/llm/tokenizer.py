@@ -57,14 +57,20 @@ def _piece_json(path: str) -> str:
     return json.dumps(pieces)
 
 
-def rank_map(path: str) -> Callable[[Column], Column]:
-    """A lookup of a byte string's rank (null if it has none).
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def with_ranks(path: str, use: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``use`` applied to a lookup of a byte string's rank (null if it has none).
 
     The map is a literal: an array of small maps, one of which is chosen by checksum, as Spark searches a map from end
-    to end. The optimizer folds the JSON into the literal once.
+    to end. The optimizer folds the JSON into the literal, which stands once in the expression however often it is
+    looked up, as every task reads it anew.
     """
     buckets = F.from_json(F.lit(_rank_json(path)), "array<map<string,int>>")
-    return lambda s: F.try_element_at(F.get(buckets, F.pmod(F.crc32(s), F.lit(BUCKETS)).cast("int")), s)
+    return _let(buckets, lambda m: use(lambda s: F.try_element_at(F.get(m, F.pmod(F.crc32(s), F.lit(BUCKETS)).cast("int")), s)))
 
 
 def as_bytes(word: Column) -> Column:
@@ -77,11 +83,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def fold_places(word: Column, rank: Callable[[Column], Column]) -> Column:
     """The pieces of a byte string: a fold in which each round merges the leftmost pair of the lowest rank, keeping
     the ranks of all pairs so that a round looks up only the two pairs it makes. Time grows as length x rounds."""
@@ -147,11 +148,11 @@ def fold_merges(word: Column, rank: Callable[[Column], Column]) -> Column:
     return F.transform(folded, rank)
 
 
-def _split(df: DataFrame, key: str, text: str, rank: Callable[[Column], Column], ids: bool = True) -> DataFrame:
+def _split(df: DataFrame, key: str, text: str, ranks: str, ids: bool = True) -> DataFrame:
     """(_key, known, open): ``known`` holds the id of each word that is a token, null for another; ``open`` has the
     places and bytes of these others. Without ``ids``, ``known`` is only the number of words.
 
-    The split is written once, as three steps read it, and each would run it again; what they read is a fraction of
+    The split is written once, as several steps read it, and each would run it again; what they read is a fraction of
     the texts.
     """
 
@@ -161,16 +162,16 @@ def _split(df: DataFrame, key: str, text: str, rank: Callable[[Column], Column],
         places = F.filter(F.arrays_zip(at.alias("at"), s["words"].alias("word"), s["known"].alias("known")), lambda x: x["known"].isNull())
         return F.struct((s["known"] if ids else n).alias("known"), F.transform(places, lambda x: F.struct(x["at"].alias("_at"), x["word"].alias("_word"))).alias("open"))
 
-    split = _let(F.transform(words(F.col(text)), as_bytes), lambda w: F.struct(w.alias("words"), F.transform(w, rank).alias("known")))
+    split = lambda rank: _let(F.transform(words(F.col(text)), as_bytes), lambda w: F.struct(w.alias("words"), F.transform(w, rank).alias("known")))
     # The struct's fields are taken from the table read back, not here, where each would split the text again.
-    row = materialize(df.select(F.col(key).alias("_key"), _let(split, parts).alias("_s")), "split")
+    row = materialize(df.select(F.col(key).alias("_key"), with_ranks(ranks, lambda rank: _let(split(rank), parts)).alias("_s")), "split")
     return row.select("_key", F.col("_s.known").alias("known"), F.col("_s.open").alias("open"))
 
 
-def _encoded_words(places: DataFrame, rank: Callable[[Column], Column]) -> DataFrame:
+def _encoded_words(places: DataFrame, ranks: str) -> DataFrame:
     """Each distinct open word with its ids. Duplicates are dropped before the shuffle, so a frequent word is one row
     per task there."""
-    return materialize(places.select("_word").distinct().withColumn("_piece_ids", fold_merges(F.col("_word"), rank)), "pieces")
+    return materialize(places.select("_word").distinct().withColumn("_piece_ids", with_ranks(ranks, lambda rank: fold_merges(F.col("_word"), rank))), "pieces")
 
 
 def encode(df: DataFrame, key: str, text: str, ranks: str) -> DataFrame:
@@ -180,28 +181,31 @@ def encode(df: DataFrame, key: str, text: str, ranks: str) -> DataFrame:
     :return: (key, ids array<int>), one row for each row of ``df``; ``ids`` is empty for a null or empty text. Other
         columns of ``df`` play no part, whatever their names. Keys must not be null or repeated.
     """
-    rank = rank_map(ranks)
-    base = _split(df, key, text, rank)
+    base = _split(df, key, text, ranks)
     places = base.select("_key", F.inline("open"))
-    filled = places.join(_encoded_words(places, rank), "_word").groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "_piece_ids"))).alias("_filled"))
-    joined = base.select("_key", "known").join(filled, "_key", "left").withColumn("_filled", F.coalesce("_filled", F.array()))
-    # The ids between two filled places, then those of the second place; at the end what follows the last place.
-    before = lambda j: F.coalesce(F.get("_filled", j - 1)["_at"], F.lit(-1))
-    parts = F.transform("_filled", lambda x, j: F.concat(F.slice("known", before(j) + 2, x["_at"] - before(j) - 1), x["_piece_ids"]))
-    tail = F.slice("known", before(F.size("_filled")) + 2, F.size("known"))
-    ids = F.when(F.size("_filled") == 0, F.col("known")).otherwise(F.flatten(F.concat(parts, F.array(tail))))
-    return joined.select(F.col("_key").alias(key), ids.alias("ids"))
+    filled = places.join(_encoded_words(places, ranks), "_word").select("_key", "_at", F.col("_piece_ids").alias("_ids"))
+    # A text's known ids and its filled places meet in one exchange, as rows and not as partial lists: hardly any key
+    # comes twice in a task before it.
+    whole = base.select("_key", F.lit(-1).alias("_at"), F.col("known").alias("_ids"))
+    rows = whole.unionByName(filled).repartition("_key").groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "_ids"))).alias("_x"))
+
+    def assembled(x: Column) -> Column:
+        # What precedes each filled place and its ids, then what follows the last.
+        known, after = F.get(x, F.lit(0))["_ids"], lambda j: F.get(x, j)["_at"] + 2
+        parts = F.transform(x, lambda v, j: F.when(j > 0, F.concat(F.slice(known, after(j - 1), v["_at"] - after(j - 1) + 1), v["_ids"])).otherwise(F.array().cast("array<int>")))
+        last = after(F.size(x) - 1)
+        return F.when(F.size(x) == 1, known).otherwise(F.concat(F.flatten(parts), F.slice(known, last, F.greatest(F.size(known) - last + 1, F.lit(0)))))
+
+    return rows.select(F.col("_key").alias(key), _let(F.col("_x"), assembled).alias("ids"))
 
 
 def count_tokens(df: DataFrame, key: str, text: str, ranks: str) -> DataFrame:
     """The number of tokens of each row's text: (key, n_tokens bigint); 0 for a null or empty text. As ``encode``, but
     only counts move."""
-    rank = rank_map(ranks)
-    base = _split(df, key, text, rank, ids=False)
-    places = base.select("_key", F.explode("open._word").alias("_word")).groupBy("_key", "_word").agg(F.count(F.lit(1)).alias("_times"))
-    more = places.join(_encoded_words(places, rank), "_word").groupBy("_key").agg(F.sum((F.size("_piece_ids") - 1) * F.col("_times")).alias("_more"))
-    n = F.col("known").cast("bigint") + F.coalesce("_more", F.lit(0))
-    return base.select("_key", "known").join(more, "_key", "left").select(F.col("_key").alias(key), n.alias("n_tokens"))
+    base = _split(df, key, text, ranks, ids=False)
+    places = base.select("_key", F.explode("open._word").alias("_word"))
+    more = places.join(_encoded_words(places, ranks).select("_word", F.size("_piece_ids").alias("_n")), "_word").select("_key", (F.col("_n") - 1).cast("bigint").alias("_n"))
+    return base.select("_key", F.col("known").cast("bigint").alias("_n")).unionByName(more).groupBy("_key").agg(F.sum("_n").alias("n_tokens")).withColumnRenamed("_key", key)
 
 
 def decode(ids: Column, ranks: str) -> Column:
