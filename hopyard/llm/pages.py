@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 #: What HTML defines.
 HIDDEN = {"script", "style", "template", "noscript", "head", "title", "svg", "iframe", "object", "select", "textarea"}
@@ -21,8 +22,12 @@ CLOSES = {
 }
 
 
-@dataclass
-class Box:
+#: What a text stands in, as bits of ``Piece.kind``.
+LINK, TITLE, HEADING = 1, 2, 4
+_KINDS = {"a": LINK, "h1": TITLE | HEADING, "h2": TITLE | HEADING, **dict.fromkeys(("h3", "h4", "h5", "h6"), HEADING)}
+
+
+class Box(NamedTuple):
     """A block container, or the page itself."""
 
     number: int
@@ -31,18 +36,16 @@ class Box:
     parent: int
 
 
-@dataclass
-class Piece:
-    """One visible text, or a hidden one."""
+class Piece(NamedTuple):
+    """One visible text on one line."""
 
     line: int
     text: str
     box: int
-    tags: tuple[str, ...]
-    hidden: bool
+    kind: int
 
 
-@dataclass
+@dataclass(slots=True)
 class Page:
     boxes: list[Box] = field(default_factory=lambda: [Box(0, "page", "", -1)])
     pieces: list[Piece] = field(default_factory=list)
@@ -50,39 +53,50 @@ class Page:
 
 
 class _Reader(HTMLParser):
+    """``open`` holds (tag, box, kind, hidden) of each open element, with what it takes over from those around it."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.page, self.open = Page(), [("page", 0)]
-
-    def _count(self) -> None:
-        line = self.getpos()[0]
-        self.page.tags_on[line] = self.page.tags_on.get(line, 0) + 1
+        self.page, self.open = Page(), [("page", 0, 0, False)]
+        self.tags, self.pieces = self.page.tags_on, self.page.pieces
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self._count()
+        line = self.lineno
+        self.tags[line] = self.tags.get(line, 0) + 1
         if tag in VOID:
             return
-        shut = CLOSES.get(tag, ())
-        while len(self.open) > 1 and self.open[-1][0] in shut:
-            self.open.pop()
+        opened = self.open
+        shut = CLOSES.get(tag)
+        if shut:
+            while len(opened) > 1 and opened[-1][0] in shut:
+                opened.pop()
         if tag == "body":
-            while self.open[-1][0] in HIDDEN:
-                self.open.pop()
-        outer, box = self.open[-1]
-        own = dict(attrs)
-        mark = f"{own.get('class') or ''} {own.get('id') or ''} {own.get('role') or ''}".strip().lower()
-        named = tag in BOXES and (tag not in LAZY or bool(mark))
-        if (named or tag in BLOCKS and tag != "div") and outer in LAZY and len(self.open) > 1 and self.open[-2][1] == box:
-            box = self._box(outer, "", box)
-            self.open[-1] = (outer, box)
-        self.open.append((tag, self._box(tag, mark, box) if named else box))
+            while opened[-1][0] in HIDDEN:
+                opened.pop()
+        outer, box, kind, hidden = opened[-1]
+        if tag in BLOCKS:
+            mark = ""
+            if tag in BOXES and attrs:
+                own = dict(attrs)
+                mark = f"{own.get('class') or ''} {own.get('id') or ''} {own.get('role') or ''}".strip().lower()
+            named = tag in BOXES and (tag not in LAZY or bool(mark))
+            if (named or tag != "div") and outer in LAZY and len(opened) > 1 and opened[-2][1] == box:
+                box = self._box(outer, "", box)
+                opened[-1] = (outer, box, kind, hidden)
+            if named:
+                box = self._box(tag, mark, box)
+        opened.append((tag, box, kind | _KINDS.get(tag, 0), hidden or tag in HIDDEN))
 
     def _box(self, tag: str, mark: str, parent: int) -> int:
         self.page.boxes.append(Box(len(self.page.boxes), tag, mark, parent))
         return len(self.page.boxes) - 1
 
     def handle_endtag(self, tag: str) -> None:
-        self._count()
+        line = self.lineno
+        self.tags[line] = self.tags.get(line, 0) + 1
+        if self.open[-1][0] == tag and len(self.open) > 1:
+            self.open.pop()
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == tag:
                 del self.open[i:]
@@ -91,13 +105,16 @@ class _Reader(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if not data.strip():
+        _, box, kind, hidden = self.open[-1]
+        if hidden or data.isspace():
+            return
+        line = self.lineno
+        if "\n" not in data:
+            self.pieces.append(Piece(line, " ".join(data.split()), box, kind))
             return
-        names = tuple(t for t, _ in self.open)
-        hidden, box, line = any(t in HIDDEN for t in names), self.open[-1][1], self.getpos()[0]
         for i, text in enumerate(data.split("\n")):
-            if text.strip():
-                self.page.pieces.append(Piece(line + i, " ".join(text.split()), box, names, hidden))
+            if words := text.split():
+                self.pieces.append(Piece(line + i, " ".join(words), box, kind))
 
 
 def read(html: str) -> Page:

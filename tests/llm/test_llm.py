@@ -266,3 +266,44 @@ def test_a_long_chain_in_one_batch_has_one_root(spark):
     seeded = increments.History(spark)
     seeded.seed(spark.createDataFrame([(-3, -3, names[0], "5 oak st")], "id long, root long, name string, address string"))
     assert {r.root for r in seeded.add(spark.createDataFrame(rows, "id long, name string, address string")).collect()} == {-3}
+
+
+BARE = ["<html><body>", "<div class=x1>", *[f"<p>Offer {c} now</p>" for c in "abcdef"], "</div>", "<div class=x2>", *[f"<p>{w} the stout is poured from four until seven, and the kitchen keeps its snacks at half their price all week long.</p>" for w in ("Here", "Then", "Next")], "</div>", "</body></html>"]
+
+
+def test_the_smoothed_ratio_selects_the_region(monkeypatch):
+    """Boxes that nothing marks: the long lines are the body, though the short ones are more."""
+    html = "\n".join(BARE)
+    long = [i for i, x in enumerate(BARE, 1) if "stout" in x]
+    assert body.body_lines(html) == long
+    ratio = body.text_to_tag
+    monkeypatch.setattr(body, "text_to_tag", lambda page: ratio(page) * 0 + 1)
+    assert body.body_lines(html) != long
+    monkeypatch.setattr(body, "text_to_tag", lambda page: 1 / (1 + ratio(page)))
+    assert body.body_lines(html) != long
+
+
+def test_threshold_and_smoothing():
+    import numpy as np
+
+    x = np.array([1.0, 2, 1, 50, 60, 55, 2, 1])
+    assert 2 < body.threshold(x) < 50 and body.threshold(np.ones(3)) == 1
+    assert body.smooth(np.ones(7)).tolist() == pytest.approx([1] * 7) and len(body.smooth(np.zeros(0))) == 0
+    assert abs(body.smooth(x).sum() / x.sum() - 1) < 0.2
+
+
+def test_counting_by_host_decides(spark):
+    """A message on all pages of a host is its teaser; the same message on one page is that page's."""
+    page = lambda extra, i: f"<html><body><main><h1>Bar {i}</h1><p>Beer {i}</p>{extra}</main></body></html>"
+    gone = "<p>Page not found</p>"
+    rows = [(i, "http://a.example/x", page(gone, chr(65 + i))) for i in range(6)] + [(10 + i, "http://b.example/x", page("", chr(65 + i))) for i in range(6)] + [(20, "http://b.example/y", page(gone, "Z"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = lambda **k: {r.page_id for r in residue.residue_pages(df, "page_id", "url", "html", **k).collect()}
+    assert found() == {20}
+    assert found(share=9.0) == {*range(6), 20}
+
+
+def test_long_messages_and_long_texts():
+    message = "Please enable JavaScript and cookies in your browser to go on reading, since this site builds every one of its pages with scripts and stores what you chose in a cookie on your own device"
+    text = "The kitchen had no error on its slip that night. " + "We drank the stout and ate the fries at the rail. " * 6
+    assert len(message) > 140 and residue.is_error(message) and not residue.is_error(text)
