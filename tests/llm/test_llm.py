@@ -294,9 +294,9 @@ def test_threshold_and_smoothing():
 
 def test_counting_by_host_decides(spark):
     """A message on all pages of a host is its teaser; the same message on one page is that page's."""
-    page = lambda extra, i: f"<html><body><main><h1>Bar {i}</h1><p>Beer {i}</p>{extra}</main></body></html>"
+    page = lambda extra, i: f"<html><body><main><h1>Bar {chr(65 + i)}</h1><p>Beer {chr(65 + i)}</p>{extra}</main></body></html>"
     gone = "<p>Page not found</p>"
-    rows = [(i, "http://a.example/x", page(gone, chr(65 + i))) for i in range(6)] + [(10 + i, "http://b.example/x", page("", chr(65 + i))) for i in range(6)] + [(20, "http://b.example/y", page(gone, "Z"))]
+    rows = [(i, "http://a.example/x", page(gone, i)) for i in range(6)] + [(10 + i, "http://b.example/x", page("", i)) for i in range(6)] + [(20, "http://b.example/y", page(gone, 25))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     found = lambda **k: {r.page_id for r in residue.residue_pages(df, "page_id", "url", "html", **k).collect()}
     assert found() == {20}
