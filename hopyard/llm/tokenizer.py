@@ -149,18 +149,20 @@ def fold_merges(word: Column, rank: Callable[[Column], Column]) -> Column:
 
 
 def _split(df: DataFrame, key: str, text: str, ranks: str, ids: bool = True) -> DataFrame:
-    """(_key, known, open): ``known`` holds the id of each word that is a token, null for another; ``open`` has the
-    places and bytes of these others. Without ``ids``, ``known`` is only the number of words.
+    """(_key, known, open): ``open`` has the distinct words of a text that are no tokens, as bytes; ``known`` the id of
+    each word, for one of these -1 for the first of them, -2 for the second and so on. Without ``ids``, ``known`` is only
+    the number of words, and ``open`` has a word as often as it occurs.
 
     The split is written once, as several steps read it, and each would run it again; what they read is a fraction of
     the texts.
     """
 
     def parts(s: Column) -> Column:
-        n = F.size(s["words"])
-        at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        places = F.filter(F.arrays_zip(at.alias("at"), s["words"].alias("word"), s["known"].alias("known")), lambda x: x["known"].isNull())
-        return F.struct((s["known"] if ids else n).alias("known"), F.transform(places, lambda x: F.struct(x["at"].alias("_at"), x["word"].alias("_word"))).alias("open"))
+        rest = F.transform(F.filter(F.arrays_zip(s["words"].alias("word"), s["known"].alias("known")), lambda x: x["known"].isNull()), lambda x: x["word"])
+        if not ids:
+            return F.struct(F.size(s["words"]).alias("known"), rest.alias("open"))
+        named = lambda open_: F.zip_with(s["known"], s["words"], lambda k, w: F.coalesce(k, -F.array_position(open_, w).cast("int")))
+        return _let(F.array_distinct(rest), lambda open_: F.struct(named(open_).alias("known"), open_.alias("open")))
 
     split = lambda rank: _let(F.transform(words(F.col(text)), as_bytes), lambda w: F.struct(w.alias("words"), F.transform(w, rank).alias("known")))
     # The struct's fields are taken from the table read back, not here, where each would split the text again.
@@ -182,19 +184,16 @@ def encode(df: DataFrame, key: str, text: str, ranks: str) -> DataFrame:
         columns of ``df`` play no part, whatever their names. Keys must not be null or repeated.
     """
     base = _split(df, key, text, ranks)
-    places = base.select("_key", F.inline("open"))
-    filled = places.join(_encoded_words(places, ranks), "_word").select("_key", "_at", F.col("_piece_ids").alias("_ids"))
-    # A text's known ids and its filled places meet in one exchange, as rows and not as partial lists: hardly any key
+    places = base.select("_key", F.posexplode("open").alias("_at", "_word"))
+    filled = places.join(_encoded_words(places, ranks), "_word").select("_key", (F.col("_at") + 1).alias("_at"), F.col("_piece_ids").alias("_ids"))
+    # A text's known ids and its filled words meet in one exchange, as rows and not as partial lists: hardly any key
     # comes twice in a task before it.
-    whole = base.select("_key", F.lit(-1).alias("_at"), F.col("known").alias("_ids"))
+    whole = base.select("_key", F.lit(0).alias("_at"), F.col("known").alias("_ids"))
     rows = whole.unionByName(filled).repartition("_key").groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "_ids"))).alias("_x"))
 
     def assembled(x: Column) -> Column:
-        # What precedes each filled place and its ids, then what follows the last.
-        known, after = F.get(x, F.lit(0))["_ids"], lambda j: F.get(x, j)["_at"] + 2
-        parts = F.transform(x, lambda v, j: F.when(j > 0, F.concat(F.slice(known, after(j - 1), v["_at"] - after(j - 1) + 1), v["_ids"])).otherwise(F.array().cast("array<int>")))
-        last = after(F.size(x) - 1)
-        return F.when(F.size(x) == 1, known).otherwise(F.concat(F.flatten(parts), F.slice(known, last, F.greatest(F.size(known) - last + 1, F.lit(0)))))
+        known = F.get(x, F.lit(0))["_ids"]
+        return F.when(F.size(x) == 1, known).otherwise(F.flatten(F.transform(known, lambda k: F.when(k >= 0, F.array(k)).otherwise(F.get(x, -k)["_ids"]))))
 
     return rows.select(F.col("_key").alias(key), _let(F.col("_x"), assembled).alias("ids"))
 
@@ -203,7 +202,7 @@ def count_tokens(df: DataFrame, key: str, text: str, ranks: str) -> DataFrame:
     """The number of tokens of each row's text: (key, n_tokens bigint); 0 for a null or empty text. As ``encode``, but
     only counts move."""
     base = _split(df, key, text, ranks, ids=False)
-    places = base.select("_key", F.explode("open._word").alias("_word"))
+    places = base.select("_key", F.explode("open").alias("_word"))
     more = places.join(_encoded_words(places, ranks).select("_word", F.size("_piece_ids").alias("_n")), "_word").select("_key", (F.col("_n") - 1).cast("bigint").alias("_n"))
     return base.select("_key", F.col("known").cast("bigint").alias("_n")).unionByName(more).groupBy("_key").agg(F.sum("_n").alias("n_tokens")).withColumnRenamed("_key", key)
 

@@ -18,7 +18,7 @@ def ranks():
     return P.path("byte_bpe_50k.tiktoken")
 
 
-TEXTS = ["Hello world, it's 5pm!", "", None, "   ", "naïve Straße 東京 🍺🍺", "Kelenstad Varunlack zzqxjv", "a" * 500, "ab" * 300, "x y\n\n z\t", "same", "same", "don't 'll 're", "\x00\x01|‹›"]
+TEXTS = ["Hello world, it's 5pm!", "", None, "   ", "naïve Straße 東京 🍺🍺", "Kelenstad Varunlack zzqxjv", "a" * 500, "ab" * 300, "x y\n\n z\t", "same", "same", "don't 'll 're", "\x00\x01|‹›", *["xq" * 63 + "z" * k for k in range(1, 5)], "Kelenstad zzqxjv Kelenstad zzqxjv Kelenstad"]
 
 
 def test_encode_equals_a_public_encoder_and_decodes_back(spark, ranks):
@@ -294,7 +294,7 @@ def test_threshold_and_smoothing():
 
 def test_counting_by_host_decides(spark):
     """A message on all pages of a host is its teaser; the same message on one page is that page's."""
-    page = lambda extra, i: f"<html><body><main><h1>Bar {chr(65 + i)}</h1><p>Beer {chr(65 + i)}</p>{extra}</main></body></html>"
+    page = lambda extra, i: f"<html><body><main>\n<h1>Bar {chr(65 + i)}</h1>\n<p>Beer {chr(65 + i)}</p>\n{extra}\n</main></body></html>"
     gone = "<p>Page not found</p>"
     rows = [(i, "http://a.example/x", page(gone, i)) for i in range(6)] + [(10 + i, "http://b.example/x", page("", i)) for i in range(6)] + [(20, "http://b.example/y", page(gone, 25))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
