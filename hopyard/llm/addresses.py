@@ -1,10 +1,10 @@
 """Address records that denote the same location: a set-containment join.
 
-Addresses are cut into components; rows of the same components are one form. A form is indexed under its rarest
-tokens of number and street, by their frequency over all forms (whatever contains an address has these; towns, ZIPs
-and units are shared by far too many to be anyone's rarest): three, as a slip of the pen makes up to two tokens rare by itself and would
-hide the form. Each form probes the index with all its tokens; a pair holds if either form contains, by weight, what both name
-and no component contradicts.
+Addresses are cut into components; rows of the same components are one form. A form is indexed under its tokens of
+number and street, the rarest first (whatever contains an address has these; towns, ZIPs and units are shared by far
+too many to be anyone's rarest). One token isn't enough, as a slip of the pen makes up to three of the four rare by
+themselves and leaves only the commonest whole. Each form probes the index with all its tokens; a pair holds if either
+form contains, by weight, what both name and no component contradicts.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from hopyard.llm import places
 from hopyard.session import materialize
 
-INDEXED = 3
+#: All that a form has.
+INDEXED = 4
 CONTAINED = 0.8
 FIELDS = places.Address._fields
 _SCHEMA = ", ".join(f"{f} string" for f in FIELDS)

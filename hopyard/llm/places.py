@@ -21,7 +21,9 @@ BUSINESS = frozenset(
 )
 _UNIT = re.compile(r"(?:\b(?:suite|ste|unit|apt|apartment|rm|room)\b[\s.#:-]*|#\s*)([0-9]{1,4}[a-z]?|[a-z][0-9]{0,3})\b")
 _ZIP = re.compile(r"(?<![\d-])(\d{5})(?:-\d{4})?(?![\d-])")
-_STATE = re.compile(r"\b(?:m\.\s?t\.?|m t|mt|montana)(?=[\s,.:|-]|$)|\b(?:usa|u\.s\.a\.?|united states)\b")
+#: The state and country, unless a street is named after it.
+_STATE = re.compile(rf"\b(?:m\.\s?t\.?|m t|mt|montana)(?=[\s,.:|-]|$)(?![\s.]+(?:{'|'.join(TYPES)})\b)|\b(?:usa|u\.s\.a\.?|united states)\b")
+_NUMBER = re.compile(r"\d{1,7}[a-z]?")
 
 
 def fold(text: str) -> str:
@@ -55,6 +57,9 @@ def parse_address(text: str | None) -> Address | None:
         unit, s = m[1], s[: m.start()] + " , " + s[m.end() :]
     zips = list(_ZIP.finditer(s))
     zip_ = ""
+    # A number of five digits at the head is the house number, unless another number is.
+    if zips and not s[: zips[-1].start()].strip(" ,") and not re.search(r"\d", s[zips[-1].end() :]) and re.match(r"\s+[a-z]", s[zips[-1].end() :]):
+        zips = []
     if zips:
         m = zips[-1]
         zip_, s = m[1], s[: m.start()] + " , " + s[m.end() :]
@@ -63,20 +68,20 @@ def parse_address(text: str | None) -> Address | None:
     # A number or a direction set apart belongs to the street beside it.
     joined: list[list[str]] = []
     for p in filter(None, parts):
-        alone = len(p) == 1 and (re.fullmatch(r"\d{1,5}[a-z]?", p[0]) or p[0] in DIRECTIONS)
-        before = joined and all(re.fullmatch(r"\d{1,5}[a-z]?", w) or w in DIRECTIONS for w in joined[-1])
+        alone = len(p) == 1 and (_NUMBER.fullmatch(p[0]) or p[0] in DIRECTIONS)
+        before = joined and all(_NUMBER.fullmatch(w) or w in DIRECTIONS for w in joined[-1])
         if joined and (before or alone and not any(w.isdigit() for w in joined[-1]) and any(w in TYPES for w in joined[-1])):
             joined[-1] += p
         else:
             joined.append(list(p))
-    at = next((i for i, p in enumerate(joined) if re.fullmatch(r"\d{1,5}[a-z]?", p[0]) and len(p) > 1), None)
+    at = next((i for i, p in enumerate(joined) if _NUMBER.fullmatch(p[0]) and len(p) > 1), None)
     if at is None:
-        at = next((i for i, p in enumerate(joined) if len(p) > 1 and re.fullmatch(r"\d{1,5}[a-z]?", p[-1])), None)
+        at = next((i for i, p in enumerate(joined) if len(p) > 1 and _NUMBER.fullmatch(p[-1])), None)
         if at is not None:
             joined[at] = [joined[at][-1], *joined[at][:-1]]
     if at is None:
         # The number stands between the street's type and the town.
-        found = ((i, j) for i, p in enumerate(joined) for j in range(2, len(p)) if re.fullmatch(r"\d{1,5}[a-z]?", p[j]) and p[j - 1] in TYPES)
+        found = ((i, j) for i, p in enumerate(joined) for j in range(2, len(p)) if _NUMBER.fullmatch(p[j]) and p[j - 1] in TYPES)
         at, j = next(found, (None, 0))
         if at is None:
             return None
@@ -89,8 +94,11 @@ def parse_address(text: str | None) -> Address | None:
     end = next((i for i, w in enumerate(words) if i and w in TYPES), None)
     type_ = ""
     if end is None:
-        # Without a type the street is taken to be one word.
-        street, rest = words[:1], words[1:]
+        # Without a type the street ends with its part where another part names the town, else it is taken to be one word.
+        apart = any(p and not any(w.isdigit() for w in p) for p in joined[at + 1 :])
+        street, rest = (words, []) if apart else (words[:1], words[1:])
+        if len(street) > 1 and street[-1] in DIRECTIONS:
+            direction, street = direction or DIRECTIONS[street[-1]], street[:-1]
     else:
         street, type_, rest = words[:end], TYPES[words[end]], words[end + 1 :]
     if rest and rest[0] in DIRECTIONS and not direction:

@@ -321,3 +321,14 @@ def test_long_messages_and_long_texts():
     message = "Please enable JavaScript and cookies in your browser to go on reading, since this site builds every one of its pages with scripts and stores what you chose in a cookie on your own device"
     text = "The kitchen had no error on its slip that night. " + "We drank the stout and ate the fries at the rail. " * 6
     assert len(message) > 140 and residue.is_error(message) and not residue.is_error(text)
+
+
+@pytest.mark.parametrize(("one", "other", "same"), [
+    ("12345 Oak St, Town", "12345 Oak Street", True), ("1234567 Oak St", "1234567 Oak Street, Town", True), ("12345 Oak St, Town, MT 59715", "12345 Oak St, 59715", True),
+    ("12 Oak Grove, Town", "12 Oak Grove St, Town", True), ("12 Montana Ave", "12 Montana Avenue", True), ("12 Montana Ave, Town, Montana", "12 N Montana Ave", True),
+    ("12 Oak #3, 10001", "12 N Oak St, Town", True), ("12 Oak #3, 10001", "12 N Oak St #4, Town", False), ("12 Oak Grove, Town", "12 Oak Hill, Town", False),
+])
+def test_locations(one, other, same):
+    a, b = map(places.parse_address, (one, other))
+    assert (places.same_location(a, b) and addresses.contains(a, b)) is same
+    assert not same or set(places.street_keys(a)) & set(places.street_keys(b))
