@@ -21,7 +21,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _number(c: Column) -> Column:
-    return F.coalesce(F.try_cast(c, "int") if hasattr(F, "try_cast") else c.try_cast("int"), F.lit(0))
+    return F.coalesce(c.try_cast("int"), F.lit(0))
+
+
+def _groups(text: Column, pattern: str) -> Column:
+    """The groups of a pattern that fits the whole text, as an array from 1 on; searched for once."""
+    return F.split(F.regexp_replace(text, pattern, "|$1|$2|$3|$4|$5|$6|$7"), r"\|")
 
 
 def to_minutes(hour: Column, minute: Column, half: Column) -> Column:
@@ -50,20 +55,20 @@ def _or(c: Column, *others: Column) -> Column:
 def time_range(token: Column) -> Column:
     """struct(start_min, end_min, spans, close, all_day) of "4-6pm", "3-close", "all day"; null if it can't be read. A
     start or end without am or pm takes the other rule: the start pm, the end that of the start."""
-    g = lambda t, i: F.regexp_extract(t, _RANGE + "$", i)
-
     def fields(start: Column, end: Column, over: Column, close: Column, whole: bool) -> Column:
         return F.struct(start.cast("int").alias("start_min"), end.cast("int").alias("end_min"), over.alias("spans"), close.alias("close"), F.lit(whole).alias("all_day"))
 
-    def read(t: Column) -> Column:
-        close = g(t, 4) == "close"
-        start = to_minutes(_number(g(t, 1)), _number(g(t, 2)), _or(g(t, 3)))
-        end = F.when(close, LAST).otherwise(to_minutes(_number(g(t, 5)), _number(g(t, 6)), _or(g(t, 7), g(t, 3))))
-        both = let(F.struct(start.alias("s"), end.alias("e")), lambda x: fields(x["s"], F.when(x["e"] <= x["s"], x["e"] + DAY).otherwise(x["e"]), x["e"] <= x["s"], close, False))
+    def read(g: Column) -> Column:
+        close = g[4] == "close"
+        start = to_minutes(_number(g[1]), _number(g[2]), _or(g[3]))
+        end = F.when(close, LAST).otherwise(to_minutes(_number(g[5]), _number(g[6]), _or(g[7], g[3])))
+        return let(F.struct(start.alias("s"), end.alias("e"), close.alias("c")), lambda x: fields(x["s"], F.when(x["e"] <= x["s"], x["e"] + DAY).otherwise(x["e"]), x["e"] <= x["s"], x["c"], False))
+
+    def known(t: Column) -> Column:
         all_day = fields(F.lit(0), F.lit(LAST), F.lit(False), F.lit(False), True)
-        return F.when(t == "all day", all_day).when(t.rlike(_RANGE + "$") & (g(t, 4) != "midnight"), both)
+        return F.when(t == "all day", all_day).when(t.rlike(_RANGE + "$") & ~t.endswith("midnight"), let(_groups(t, _RANGE + "$"), read))
 
-    return let(F.lower(F.trim(token)), read)
+    return let(F.lower(F.trim(token)), known)
 
 
 def parse_hours(hours: Column) -> Column:
@@ -74,7 +79,7 @@ def parse_hours(hours: Column) -> Column:
     def segment_parts(segment: Column) -> Column:
         """struct(own, text, t): a segment's own days, its time as text and as read."""
         words = F.filter(F.split(F.trim(segment), r"\s+"), lambda w: w != "")
-        split = let(words, lambda w: let(day_range(F.get(w, F.lit(0))), lambda own: F.struct(own.alias("own"), F.when(own.isNotNull(), F.array_join(F.slice(w, 2, 99), " ")).otherwise(F.array_join(w, " ")).alias("text"))))
+        split = let(words, lambda w: let(day_range(F.get(w, F.lit(0))), lambda own: F.struct(own.alias("own"), F.when(own.isNotNull(), F.array_join(F.slice(w, F.lit(2), F.size(w)), " ")).otherwise(F.array_join(w, " ")).alias("text"))))
         return let(split, lambda x: F.struct(x["own"].alias("own"), x["text"].alias("text"), time_range(x["text"]).alias("t")))
 
     def step(acc: Column, x: Column) -> Column:
@@ -93,17 +98,21 @@ def parse_business_hours(text: Column) -> Column:
     and what can't be read are left out, a later segment replaces an earlier one for its days. Midnight is 1440."""
     head = rf"(?i)^(daily|(?:{_DAYS})(?:-(?:{_DAYS}))?)\s+(.+)$"
     inner = _RANGE.removeprefix("^")
+    range_only = rf"(?s)^.*?(?:{inner}).*$"
 
-    def step(acc: Column, segment: Column) -> Column:
-        s = F.trim(segment)
+    def body_of(s: Column) -> Column:
+        """struct(days, end) of a segment; null where it can't be read."""
         days, body = day_range(F.regexp_extract(s, head, 1)), F.lower(F.trim(F.regexp_extract(s, head, 2)))
-        g = lambda i: F.regexp_extract(body, inner, i)
-        end = F.when(g(4) == "midnight", DAY).when(g(4) == "close", LAST).otherwise(to_minutes(_number(g(5)), _number(g(6)), _or(g(7), g(3)))).cast("int")
-        fits = s.rlike(head) & days.isNotNull() & ~body.startswith("closed") & body.rlike(inner)
-        return F.when(fits, F.transform(acc, lambda old, i: F.when(day_in(i + 1, days["start_day"], days["end_day"]), end).otherwise(old))).otherwise(acc)
+        return let(F.struct(days.alias("days"), body.alias("body")), lambda x: F.when(x["days"].isNotNull() & ~x["body"].startswith("closed") & x["body"].rlike(inner), F.struct(x["days"].alias("days"), let(_groups(x["body"], range_only), ends).alias("end"))))
+
+    def ends(g: Column) -> Column:
+        return F.when(g[4] == "midnight", DAY).when(g[4] == "close", LAST).otherwise(to_minutes(_number(g[5]), _number(g[6]), _or(g[7], g[3]))).cast("int")
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.when(x.isNull(), acc).otherwise(F.transform(acc, lambda old, i: F.when(day_in(i + 1, x["days"]["start_day"], x["days"]["end_day"]), x["end"]).otherwise(old)))
 
     zero = F.array(*[F.lit(None).cast("int")] * 7)
-    return F.aggregate(F.split(F.coalesce(text, F.lit("")), ","), zero, step)
+    return F.aggregate(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda s: let(F.trim(s), body_of)), zero, step)
 
 
 def day_in(day: Column, start: Column, end: Column) -> Column:
@@ -120,10 +129,9 @@ def status(hours: Column, business: Column, now: Column) -> Column:
     closed, or unknown without windows. The first active window in the text's order gives the end; one that lasts
     until closing takes today's closing time."""
     day, minute = F.weekday(now) + 1, F.hour(now) * 60 + F.minute(now)
-    closing = F.get(parse_business_hours(business), day - 1)
     null = F.lit(None).cast("int")
 
-    def settled(w: Column) -> Column:
+    def settled(w: Column, closing: Column) -> Column:
         end = F.when(w["close"] & closing.isNotNull(), F.when(closing <= w["start_min"], closing + DAY).otherwise(closing)).otherwise(w["end_min"])
         today = day_in(day, w["start_day"], w["end_day"])
         spill = (end > DAY) & day_in(day_before(day), w["start_day"], w["end_day"]) & (minute < end - DAY)
@@ -138,7 +146,7 @@ def status(hours: Column, business: Column, now: Column) -> Column:
         soon = F.array_min(F.transform(seen, lambda w: w["wait"]))
         return F.when(F.size(seen) == 0, kind("unknown", null, null)).when(found.isNotNull(), kind("live", null, found["end"])).when(soon.isNotNull(), kind("soon", soon, null)).otherwise(kind("closed", null, null))
 
-    return let(F.transform(parse_hours(hours), settled), judged)
+    return let(F.get(parse_business_hours(business), day - 1), lambda closing: let(F.transform(parse_hours(hours), lambda w: settled(w, closing)), judged))
 
 
 def time_until(start: Column, now: Column) -> Column:

@@ -2,18 +2,40 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
-#: Sites that list places of others.
-AGGREGATORS = ("pourfinder.example", "tapledger.example", "valleymag.example", "menuhive.example")
+from pyspark.sql.types import StringType
+
+#: Words that mark a price of 0 as a discount instead of a gift.
+DISCOUNT = r"(?i)\$|cents|%|off|discount|half|bogo|special|deal|price|happy\s*hour|2\s*for\s*1|2-4-1|one\s*free"
+#: Source types that are families of their own, and the families of directory sites.
+OWN_FAMILY = ("overture", "overpass", "human", "own_site", "social")
+FAMILY_ALIASES = {
+    "mthappyhour.com": "mthappyhour",
+    "bozemanmagazine.com": "local_directory",
+    "visit-bozeman.com": "local_directory",
+    "menupix.com": "menupix",
+    "yelp.com": "yelp",
+    "sellout.io": "sellout",
+    "google.com": "google",
+    "facebook.com": "facebook",
+}
+
+
+@F.pandas_udf(StringType())
+def _nfkd_ascii(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in parts:
+        yield s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
 
 
 def ascii_fold(c: Column) -> Column:
-    """Accented Latin letters without their accents; other characters beyond ASCII are dropped."""
-    return F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), r"[^\x00-\x7F]", "")
+    """Compatibility decomposition without what lies beyond ASCII, so that accents go and their letters stay. Spark has
+    no function for it; texts of ASCII alone pass through as they are."""
+    return _nfkd_ascii(c)
 
 
 def norm_name(c: Column) -> Column:
@@ -26,11 +48,11 @@ def norm_name(c: Column) -> Column:
 
 def norm_address(c: Column) -> Column:
     """Lower case, one kind of separator, no state or ZIP, units as #, no doubled words."""
-    s = F.regexp_replace(F.lower(c), "[,.-]+", " ")
+    s = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[,.-]+", " ")
     s = F.regexp_replace(s, r"\b(mt|montana)\b", " ")
     s = F.regexp_replace(s, r"\b\d{5}\b", " ")
-    s = F.regexp_replace(F.regexp_replace(s, r"\b(suite|ste|unit|apt)\b", "#"), r"#\s*", "#")
-    s = F.regexp_replace(s, r"\b(\w+)\s+\1\b", "$1")
+    s = F.regexp_replace(F.regexp_replace(s, r"\b(suite|unit|ste|apt)\b", "#"), r"#\s*", "#")
+    s = F.regexp_replace(s, r"(?U)\b(\w+)\s+\1\b", "$1")
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
@@ -51,7 +73,8 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))), r"^www\.", "")
 
 
-def is_aggregator(url: Column, hosts: tuple[str, ...] = AGGREGATORS) -> Column:
+def is_aggregator(url: Column, hosts: tuple[str, ...]) -> Column:
+    """Whether a page belongs to one of the hosts or to a part of one."""
     h = host_of(url)
     return F.exists(F.array(*[F.lit(x) for x in hosts]), lambda a: (h == a) | F.endswith(h, F.concat(F.lit("."), a)))
 
@@ -75,8 +98,77 @@ def names_match(a: Column, b: Column) -> Column:
 
 def price_label(price: Column, description: Column) -> Column:
     """"$4.50"; a dash for a discount without a price, FREE for none."""
-    off = F.lower(F.coalesce(description, F.lit(""))).rlike(r"% ?off|half[- ]price|discount|\$\d+ off|off ")
-    return F.when(price > 0, F.format_string("$%.2f", price.cast("double"))).when(off, "—").otherwise("FREE")
+    return F.when(price > 0, F.format_string("$%.2f", price.cast("double"))).when(F.coalesce(description, F.lit("")).rlike(DISCOUNT), "—").otherwise("FREE")
+
+
+def source_family(url: Column, source_type: Column) -> Column:
+    """The family whose members copy each other: a first-hand type itself, else that of the first directory named in the
+    address, else the type."""
+    low = F.lower(F.coalesce(url, F.lit("")))
+    family = F.when(source_type.isin(*OWN_FAMILY), source_type)
+    for host, name in FAMILY_ALIASES.items():
+        family = family.when(F.contains(low, F.lit(host)), name)
+    return family.otherwise(F.coalesce(F.nullif(source_type, F.lit("")), F.lit("unknown")))
+
+
+def content_hash(c: Column) -> Column:
+    """The first 16 hexadecimal digits of the text's SHA-256."""
+    return F.left(F.sha2(F.coalesce(c, F.lit("")), 256), F.lit(16))
+
+
+def escape_html(c: Column) -> Column:
+    s = F.coalesce(c, F.lit(""))
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        s = F.replace(s, F.lit(raw), F.lit(safe))
+    return s
+
+
+def place_label(address: Column) -> Column:
+    """What stands before the first comma."""
+    return F.trim(F.split_part(F.coalesce(address, F.lit("")), F.lit(","), F.lit(1)))
+
+
+def maps_query(*parts: Column) -> Column:
+    """The parts, percent-encoded for the query of a map's address; blanks as %20, slashes as they are."""
+    return F.replace(F.replace(F.url_encode(F.concat_ws(" ", *parts)), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+
+
+def in_cities(address: Column, city: Column, cities: list[str]) -> Column:
+    """Whether address or city names one of the cities; true for no cities. A number may stand for "four"."""
+    low = F.lower(F.concat(F.coalesce(address, F.lit("")), F.lit(" "), F.coalesce(city, F.lit(""))))
+    names = [c.strip().lower() for c in cities]
+    names += [n.replace("four ", "4 ") for n in names if n == "four corners"]
+    hit = F.lit(not cities)
+    for n in names:
+        hit = hit | F.contains(low, F.lit(n))
+    return hit
+
+
+def is_challenge(html: Column) -> Column:
+    """Whether a page is a guard's, not the site's: by its title, its script, or a thin page that asks for scripts."""
+    low = F.lower(F.coalesce(html, F.lit("")))
+    title = low.rlike(r"<title[^>]*>\s*(?:just a moment|attention required)")
+    thin = F.contains(low, F.lit("challenge-platform")) & (F.length(html) < 20_000) & ~low.rlike(r"happy\s*hour|daily\s+special|menu|hours")
+    asks = F.contains(low, F.lit("enable javascript and cookies to continue")) & (F.length(html) < 15_000)
+    return title | F.contains(low, F.lit("cf-browser-verification")) | thin | asks
+
+
+def normalize_hours(c: Column) -> Column:
+    """One spelling of hours: Daily, day ranges without spaces, am and pm in small letters, "-" between times."""
+    h = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    days = "Mon|Tue|Wed|Thu|Fri|Sat|Sun"
+    for pattern, new in (
+        (r"(?i)\bevery\s*day\b", "Daily"),
+        (rf"(?i)\b({days})\s*-\s*({days})\b", "$1-$2"),
+        (r"(?i)\s*a\.?m\.?\b", "am"),
+        (r"(?i)\s*p\.?m\.?\b", "pm"),
+        (r"(?i)\s+to\s+", "-"),
+        (r"\s*[–—]\s*", "-"),
+        (r"(?i)(\d(?:am|pm)?)\s+-\s+(\d)", "$1-$2"),
+        *((rf"(?i)\b{d}\b", d) for d in ("Daily", *days.split("|"))),
+    ):
+        h = F.regexp_replace(h, pattern, new)
+    return h
 
 
 WEEKDAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
@@ -107,3 +199,8 @@ def seeded_draw(seed: Column) -> Column:
 def freshness(days: Column, ttl: Column) -> Column:
     """1 until ``ttl`` days, then falling to 0 at twice that."""
     return F.when(days <= ttl, 1.0).when(days >= 2 * ttl, 0.0).otherwise(1.0 - (days - ttl) / ttl)
+
+
+def applies_on(c: Column, day: Column) -> Column:
+    """Whether a text names weekdays and ``day`` is one of them."""
+    return F.array_contains(weekday_mentions(c), day)

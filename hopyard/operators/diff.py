@@ -29,6 +29,17 @@ def latest(df: DataFrame, keys: list[str], order: str, values: dict[str, Column]
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_b.{n}").alias(n) for n in values])
 
 
+def neighbours(df: DataFrame, snapshot: str) -> tuple[DataFrame, DataFrame]:
+    """(before, after): the rows of each snapshot but the last under the number of the next delivered one, and the rows
+    of each but the first. A null number belongs to no snapshot."""
+    # One row per snapshot: the window over them stays small however large the snapshots are.
+    numbers = df.where(F.col(snapshot).isNotNull()).select(snapshot).distinct()
+    follows = numbers.withColumn("_next", F.lead(snapshot).over(Window.orderBy(snapshot))).where(F.col("_next").isNotNull())
+    after = df.join(F.broadcast(numbers.agg(F.min(snapshot).alias("_first"))), F.col(snapshot) > F.col("_first")).drop("_first")
+    before = df.join(follows, snapshot).withColumn(snapshot, F.col("_next")).drop("_next")
+    return before.select(*df.columns), after.select(*df.columns)
+
+
 def snapshot_changes(df: DataFrame, snapshot: str, key: str, order: str, values: dict[str, Column]) -> DataFrame:
     """Added, removed and changed keys of each snapshot since the one delivered before it.
 

@@ -1,7 +1,7 @@
 """Session settings and the shared scratch folder.
 
 Intermediate tables go to the folder that the cluster names in ``spark.checkpoint.dir``; a folder of our own is made
-only where that setting is absent (tests, a laptop). Nothing is kept on one executor alone, so that a lost executor
+only where that setting is absent and all runs on one machine (tests, a laptop). Nothing is kept on one executor alone, so that a lost executor
 costs a recomputation, never a result.
 """
 
@@ -35,6 +35,8 @@ def scratch(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own is None:
         folder = tempfile.TemporaryDirectory(prefix="hopyard-")
         atexit.register(folder.cleanup)
