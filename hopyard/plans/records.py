@@ -41,19 +41,20 @@ def partial_run(spark: SparkSession, folder: str) -> DataFrame:
     return merge.overlay(_last_seen(spark, folder).select("id", "name"), table(spark, folder, "valid_base_config").select("id", "name"), "id")
 
 
-_CUT = "2026-06-01"
+_CUT = "2026-07-01 00:00:00"
 
 
 @query(
     f"""
-    SELECT DISTINCT venue_id FROM observation n WHERE observed_at >= '{_CUT}' AND EXISTS (SELECT 1 FROM observation o WHERE o.observed_at < '{_CUT}' AND o.venue_id = n.venue_id AND o.content_hash = n.content_hash
+    SELECT DISTINCT venue_id FROM observation n WHERE ingested_at >= TIMESTAMP '{_CUT}' AND EXISTS (SELECT 1 FROM observation o WHERE o.ingested_at < TIMESTAMP '{_CUT}' AND o.venue_id = n.venue_id AND o.content_hash = n.content_hash
         AND (o.payload.hours <> '' OR len(o.payload.specials) > 0))
     """
 )
 def cache_hits(spark: SparkSession, folder: str) -> DataFrame:
     obs = table(spark, folder, "observation")
     usable = (F.coalesce("payload.hours", F.lit("")) != "") | (F.size("payload.specials") > 0)
-    return merge.unchanged(obs.where(F.col("observed_at") < _CUT), obs.where(F.col("observed_at") >= _CUT), "venue_id", usable)
+    cut = F.lit(_CUT).cast("timestamp_ntz")
+    return merge.unchanged(obs.where(F.col("ingested_at") < cut), obs.where(F.col("ingested_at") >= cut), "venue_id", usable)
 
 
 _WEEK = "['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun']"
@@ -186,15 +187,14 @@ def normal_hours(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "candidate").select("cand_id", text.normalize_hours(F.col("hh_summary")).alias("hours"))
 
 
-@query(r"SELECT DISTINCT obs_id FROM (SELECT obs_id, unnest(payload.specials) AS s FROM observation) WHERE regexp_matches(lower(coalesce(s.item, '') || ' ' || coalesce(s.description, '')), '\b(tue|tuesdays?)\b')")
-def specials_today(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "observation").select("obs_id", F.explode("payload.specials").alias("s"))
-    return rows.where(text.applies_on(F.concat_ws(" ", "s.item", "s.description"), F.lit(2))).select("obs_id").distinct()
+@query(r"SELECT cand_id FROM candidate WHERE regexp_matches(lower(coalesce(hh_summary, '')), '\b(tue|tuesdays?)\b')")
+def named_tuesday(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "candidate").where(text.applies_on(F.col("hh_summary"), F.lit(2))).select("cand_id")
 
 
-@query("SELECT cand_id FROM candidate WHERE contains(lower(coalesce(address, '') || ' ' || coalesce(city, '')), 'town') OR contains(lower(coalesce(address, '') || ' ' || coalesce(city, '')), 'four corners') OR contains(lower(coalesce(address, '') || ' ' || coalesce(city, '')), '4 corners')")
+@query("SELECT cand_id FROM candidate WHERE contains(lower(coalesce(address, '') || ' ' || coalesce(city, '')), 'branaton') OR contains(lower(coalesce(address, '') || ' ' || coalesce(city, '')), 'four corners') OR contains(lower(coalesce(address, '') || ' ' || coalesce(city, '')), '4 corners')")
 def in_cities(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "candidate").where(text.in_cities(F.col("address"), F.col("city"), ["town", "Four Corners"])).select("cand_id")
+    return table(spark, folder, "candidate").where(text.in_cities(F.col("address"), F.col("city"), ["Branaton", "Four Corners"])).select("cand_id")
 
 
 @query("SELECT obs_id, venue_id FROM observation WHERE source_type IN ('own_site', 'aggregator') AND (payload.hours <> '' OR payload.business_hours <> '' OR len(payload.specials) > 0)")

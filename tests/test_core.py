@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hopyard.functions import hours, text
-from hopyard.operators import diff, truth
+from hopyard.operators import diff, matching, merge, quality, truth
 from hopyard.sources import poi, read_json, salvage_json
 
 STATUS = [
@@ -57,8 +57,8 @@ def test_snapshot_changes(spark):
 
 
 def test_agreement_and_streak(spark):
-    votes = spark.createDataFrame([("v", "hours", "own_site", 0.8, "a"), ("v", "hours", "x", 0.3, "b"), ("w", "hours", "x", 0.3, "a"), ("w", "hours", "y", 0.3, "b")], "venue_id string, field string, source_family string, weight double, key string")
-    assert {(r.venue_id, r.key, r.kind) for r in truth.agree(votes).collect()} == {("v", "a", "verified"), ("w", "a", "conflicted")}
+    votes = spark.createDataFrame([("v", "hours", "own_site", 0.8, "a", "2026-08-01"), ("v", "hours", "x", 0.3, "b", "2026-08-01"), ("w", "hours", "x", 0.3, "a", "2026-08-01"), ("w", "hours", "y", 0.3, "b", "2026-08-01"), ("s", "hours", "own_site", 0.9, "a", "2026-07-01")], "venue_id string, field string, source_type string, weight double, key string, observed_at string")
+    assert {(r.venue_id, r.key, r.kind) for r in truth.agree(votes, "2026-08-05T00:00:00Z").collect()} == {("v", "a", "verified"), ("w", "a", "conflicted"), ("s", "a", "stale")}
     runs = spark.createDataFrame([("a", 1, True), ("a", 2, False), ("a", 3, False), ("b", 1, False), ("c", 1, True)], "id string, n int, ok boolean")
     assert {(r.id, r.streak) for r in truth.failure_streak(runs, "id", ["n"], F.col("ok")).collect()} == {("a", 2), ("b", 1), ("c", 0)}
 
@@ -91,3 +91,125 @@ def test_price_and_days(spark):
     assert [r[0] for r in df.select(text.price_label(F.col("p"), F.col("d"))).collect()] == ["$4.50", "—", "FREE"]
     df = spark.createDataFrame([("Mon-Fri special, Sundays too",), (None,)], "x string")
     assert [r[0] for r in df.select(text.weekday_mentions(F.col("x"))).collect()] == [[1, 5, 7], []]
+
+
+def column(spark, expr, *values, kind="string"):
+    """The results of an expression of column v over some values."""
+    rows = spark.createDataFrame(list(enumerate(values)), f"i int, v {kind}")
+    return [r.x for r in rows.select("i", expr.alias("x")).orderBy("i").collect()]
+
+
+def test_price_labels(spark):
+    said = ["$1 off wells", "2 for 1 drafts", "half price wings", "BOGO", "happy hour special", "50 cents", "20% less", "on the house", None, ""]
+    assert column(spark, text.price_label(F.lit(0.0), F.col("v")), *said) == ["—"] * 7 + ["FREE"] * 3
+    assert column(spark, text.price_label(F.lit(4.5), F.col("v")), "half price") == ["$4.50"]
+
+
+def test_names_beyond_latin_1(spark):
+    assert column(spark, text.norm_name(F.col("v")), "Škoda Łódź", "The Café", "A The Inn", "ﬁne Bar", None, "") == ["skoda odz", "cafe", "the inn", "fine bar", None, ""]
+
+
+@pytest.mark.parametrize(("value", "want"), [("Every day 3 PM to 6 PM", "Daily 3pm-6pm"), ("mon - fri 4pm – 6pm", "Mon-Fri 4pm-6pm"), ("DAILY 4 pm - 6 P.M", "Daily 4pm-6pm"), ("", ""), (None, "")])
+def test_normal_hours(spark, value, want):
+    assert column(spark, text.normalize_hours(F.col("v")), value) == [want]
+
+
+def test_guards_pages(spark):
+    shell = "<script src=/cdn-cgi/challenge-platform/x></script>"
+    pages = ["<title>Just a moment...</title>", "<TITLE> Attention Required</TITLE>", "<p>cf-browser-verification", shell, shell + "our menu", shell + " " * 20_000, "Enable JavaScript and cookies to continue", "<p>captcha</p>", "", None]
+    assert column(spark, text.is_challenge(F.col("v")), *pages) == [True, True, True, True, False, False, True, False, False, False]
+
+
+def test_escape_families_and_maps(spark):
+    assert column(spark, text.escape_html(F.col("v")), """<a href="x">'&'</a>""", None) == ["&lt;a href=&quot;x&quot;&gt;&#39;&amp;&#39;&lt;/a&gt;", ""]
+    assert column(spark, text.source_family(F.col("v"), F.lit("aggregator")), "https://www.yelp.com/x", "https://visit-bozeman.com", "https://other.example", None) == ["yelp", "local_directory", "aggregator", "aggregator"]
+    assert column(spark, text.source_family(F.col("v"), F.lit("overture")), "https://www.yelp.com/x") == ["overture"]
+    assert column(spark, text.maps_query(F.col("v"), F.lit("MT")), "A/B & C") == ["A/B%20%26%20C%20MT"]
+
+
+def test_removed_needs_a_name_and_a_place(spark):
+    gone = spark.createDataFrame([("Red Fox", None, "12 oak st town"), (None, "blue & owl", "9 elm"), ("No Place", None, None), (None, None, "12 oak st")], "name string, norm_name string, norm_address string")
+    rows = [(1, "The Red Fox", "12 Oak Street"), (2, "Red Fox", "14 Oak St"), (3, "Blue & Owl", "9 Elm, MT 59715"), (4, "No Place", ""), (5, "", "12 oak st"), (6, None, None), (7, "Red Fox", "Oak St")]
+    df = spark.createDataFrame(rows, "id int, name string, address string")
+    assert {r.id for r in matching.removed(df, "id", gone).collect()} == {1, 3}
+    assert matching.removed(df, "id", gone.limit(0)).count() == 0 and matching.removed(df.limit(0), "id", gone).count() == 0
+
+
+def test_duplicates_never_by_name_alone(spark):
+    known = spark.createDataFrame([(1, "Plonk", "29 E Main St"), (2, "Wild Rye Distilling", "111 E Oak St"), (3, "Blank", None)], "id int, name string, address string")
+    rows = [(1, "Plonk", "322 N Higgins Ave"), (2, "The Plonk", "29 East Main"), (3, "Wildrye Distilling", "111 E. Oak St"), (4, "Blank", None), (5, "Other", "111 W Oak St")]
+    assert {r.id for r in matching.duplicates(spark.createDataFrame(rows, "id int, name string, address string"), "id", known, "id").collect()} == {2, 3}
+
+
+def test_best_partner_equals_all_pairs(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    names = ["The Red Fox", "Red Fox Tavern", "Fox", "Bar", "Owl Bar", "Red", "Blue Owl Bar", None, "", "The"]
+    make = lambda: [(i, rng.choice(names), rng.choice([None, "", "12 Oak St", "12 Elm", "9 Oak"]), rng.choice([None, "", "(406) 555-1234", "555-1234", "4065559999"])) for i in range(40)]
+    left, right = make(), make()
+    cols = "id int, name string, address string, phone string"
+    got = {(r.l_id, r.r_id, r.score) for r in matching.best_partner(spark.createDataFrame(left, cols), spark.createDataFrame(right, cols)).collect()}
+    flat = lambda s: re.sub("[^a-z0-9]+", "", re.sub(r"\bthe ", "", (s or "").lower()))
+    number = lambda s: (re.match(r"\d+", flat(s)) or [""])[0]
+    digits = lambda s: d[-10:] if len(d := re.sub(r"\D", "", s or "")) >= 7 else None
+
+    def score(x, y):
+        a, b = flat(x[1]), flat(y[1])
+        if not a or not b or a not in b and b not in a:
+            return 0
+        if digits(x[3]) and digits(x[3]) == digits(y[3]):
+            return 1.0
+        return 0.8 if number(x[2]) and number(x[2]) == number(y[2]) or not x[2] and not x[3] and a == b else 0
+
+    best = {x[0]: max((score(x, y), -y[0]) for y in right) for x in left}
+    assert got == {(k, -v[1], v[0]) for k, v in best.items() if v[0]} and got
+
+
+def test_status_ladder(spark):
+    rows = {
+        "sure": [("permanently_closed", 0.95, "overture", "overture"), ("open", 0.25, "aggregator", "a")], "told": [("temporarily_closed", 0.9, "own_site", "own_site")], "weak2": [("likely_closed", 0.2, "aggregator", "a"), ("likely_closed", 0.2, "aggregator", "b")],
+        "mixed": [("likely_closed", 0.2, "aggregator", "a"), ("open", 0.9, "own_site", "own_site")], "one": [("likely_closed", 0.2, "social", "social")], "listed": [("open", 0.25, "aggregator", "a"), ("open", 0.25, "aggregator", "b")],
+        "single": [("open", 0.95, "overture", "overture")], "two": [("open", 0.95, "overture", "overture"), ("open", 0.25, "aggregator", "a")], "own": [("open", 1.0, "own_site", "own_site")], "none": [("varies", 1.0, "own_site", "own_site")],
+    }
+    votes = [(k, *v, "2026-08-01T00:00:00Z") for k, vs in rows.items() for v in vs] + [("old", "open", 0.0, "own_site", "own_site", "2020-01-01T00:00:00Z")]
+    df = spark.createDataFrame(votes, "venue_id string, key string, weight double, source_type string, source_family string, observed_at string")
+    got = {r.venue_id: (r.kind, r.value) for r in truth.agree_status(df, "2026-08-05T00:00:00Z").collect()}
+    assert got == {
+        "sure": ("suppressed", "permanently_closed"), "told": ("suppressed", "likely_closed"), "weak2": ("conflicted", "likely_closed"), "mixed": ("conflicted", "unknown"), "one": ("needs_review", "unknown"), "listed": ("unverified", "open"),
+        "single": ("unverified", "open"), "two": ("verified", "open"), "own": ("verified", "open"), "none": ("unverified", "unknown"), "old": ("stale", "open"),
+    }
+
+
+def test_keep_previous_and_overlay(spark):
+    cols = "id string, name string, tags array<string>, hours string, specials array<string>"
+    config = spark.createDataFrame([("a", "", ["x"]), ("b", "B", []), ("c", None, None)], "id string, name string, tags array<string>")
+    extract = spark.createDataFrame([("a", "nonsense", ["s"]), ("b", "", [])], "id string, hours string, specials array<string>")
+    previous = spark.createDataFrame([("a", "Old", ["y"], "Daily 4-6pm", []), ("b", "Old", ["y"], "Fri 4-6pm", ["t"]), ("z", "Z", [], "", [])], cols)
+    kept = merge.keep_previous(config, extract, previous, "id", ["name", "tags"], ["hours", "specials"], ok=F.size(hours.parse_hours(F.col("hours"))) > 0)
+    assert {r.id: tuple(r)[1:] for r in kept.collect()} == {"a": ("Old", ["x"], "Daily 4-6pm", ["s"]), "b": ("B", ["y"], "Fri 4-6pm", ["t"]), "c": ("", [], "", [])}
+    assert {(r.id, r.name) for r in merge.overlay(kept, previous, "id").collect()} == {("a", "Old"), ("b", "B"), ("c", ""), ("z", "Z")}
+
+
+def test_weekly_text_and_cache(spark):
+    rows = [("a", d, "11am-10pm") for d in (1, 2, 3, 5)] + [("a", 4, ""), ("a", 7, "9am-5pm"), ("b", 6, None)]
+    df = spark.createDataFrame(rows, "id string, day int, h string")
+    assert [tuple(r) for r in merge.weekly_text(df, "id", "day", "h").collect()] == [("a", "Mon-Wed 11am-10pm, Fri 11am-10pm, Sun 9am-5pm")]
+    cache = spark.createDataFrame([("a", "1", True), ("b", "2", False), (None, "3", True)], "id string, content_hash string, ok boolean")
+    fresh = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "2"), (None, "3"), ("c", "1")], "id string, content_hash string")
+    assert [r.id for r in merge.unchanged(cache, fresh, "id", F.col("ok")).collect()] == ["a"]
+
+
+def test_violations_and_regression(spark):
+    df = spark.createDataFrame([("a b", None), ("c", 1.0), ("c", -1.0)], "id string, price double")
+    rules = {"id": F.col("id").rlike("^[a-z]+$"), "price": F.col("price") >= 0}
+    assert {tuple(r) for r in quality.violations(df, "id", rules, {"id": F.col("id")}).unionByName(quality.repeated(df, "id")).collect()} == {("id", "a b", "a b"), ("price", "a b", ""), ("price", "c", ""), ("repeated_id", "c", "2")}
+    make = lambda rows: spark.createDataFrame([(1, *r) for r in rows], "n int, id string, hours string, tags array<string>")
+    before, after = make([("a", "x", ["t"]), ("b", "x", []), ("c", None, None)]), make([("a", "", []), ("c", None, None), ("d", "x", [])])
+    states = quality.compared(before, after, ["n", "id"], ["hours", "tags"])
+    assert {r.id: (r.state, r.lost) for r in states.collect()} == {"a": ("changed", ["hours", "tags"]), "b": ("missing", ["hours"]), "c": ("same", []), "d": ("new", [])}
+    r = quality.regression(states, ["n"], {"hours": 1, "tags": 2}, 5).first()
+    assert (r.before, r.after, r.missing, r.fresh, r.changed, r.lost_hours, r.lost_tags, r.verdict) == (3, 3, 1, 1, 1, 2, 1, "fail")
+    assert quality.regression(quality.compared(after, after, ["n", "id"], ["hours"]), ["n"], {"hours": 0}, 5).first().verdict == "pass"
+    assert {tuple(r) for r in quality.deep_parity(before, after, "id", ["hours", "tags"]).collect()} == {("differs", "a", "hours"), ("differs", "a", "tags")}
