@@ -84,8 +84,7 @@ def name_level(x: str, y: str) -> int:
     a, b = tuple(x.split()), tuple(y.split())
     if places.same_name(a, b):
         return AGREES
-    short, long = sorted((set(a), set(b)), key=len)
-    return PARTLY if all(any(places.close(v, w) for w in long) for v in short) else DIFFERS
+    return PARTLY if places.holds_name(a, b) else DIFFERS
 
 
 @lru_cache(maxsize=1 << 17)

@@ -169,6 +169,12 @@ def same_name(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
     return close("".join(a), "".join(b)) or sorted(a) == sorted(b)
 
 
+def holds_name(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
+    """All words of one stand in the other, but for slips."""
+    short, long = sorted((set(a), set(b)), key=len)
+    return bool(short) and all(any(close(v, w) for w in long) for v in short)
+
+
 def phone_digits(text: str | None) -> str:
     """The last ten digits, or seven; extensions and shorter numbers are left out."""
     digits = re.sub(r"\D", "", re.sub(r"(?i)(?:ext|x|#).*$", "", text or ""))
