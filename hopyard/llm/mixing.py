@@ -52,13 +52,14 @@ def _pivot(keys: list, sizes: list[float], parts: list[float], seed: int, last:
 
 def _step(df: DataFrame, by: list[str], seed: int, last: bool) -> DataFrame:
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id", kind="stable")
+        # Largest first, so that the fraction that stays open at the end is one of a small row.
+        part = part.sort_values(["size", "id"], ascending=[False, True], kind="stable")
         return part.assign(part=_pivot(part["id"].tolist(), part["size"].tolist(), part["part"].tolist(), seed, last))
 
     return df.groupBy(*by).applyInPandas(run, df.schema)
 
 
-def mix(df: DataFrame, targets: DataFrame, seed: int = 0, total: float | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(df: DataFrame, targets: DataFrame, seed: int = 0, total: float | None = None, group_rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """How often each row is used so that each source has its share of the total size.
 
     :param df: (id, source, size bigint), ids unique; labels as in ``targets``. Rows without a target, or of size 0,
@@ -70,8 +71,8 @@ def mix(df: DataFrame, targets: DataFrame, seed: int = 0, total: float | None =
     :return: copies (id, source, size, copies int), one row for each row of ``df``, and report (source, target_share,
         actual_share, docs, used_docs, size, most_copies).
 
-    Rows of a source are cut at random into groups of about ``ROWS``, whatever the source's size; each group leaves at
-    most one fraction, and a tree combines these ``FAN_IN`` at a time.
+    Rows of a source are cut at random into groups of about ``group_rows``, whatever the source's size; each group leaves
+    at most one fraction, and a tree combines these ``FAN_IN`` at a time.
     """
     want = targets.select(F.col("source").alias("_source"), F.col("target_share").cast("double").alias("_share"), F.col("max_repeat").cast("int").alias("_most"))
     has = df.where(F.col("size") > 0).groupBy("source").agg(F.sum("size").alias("_has"), F.count(F.lit(1)).alias("_n"))
@@ -79,11 +80,11 @@ def mix(df: DataFrame, targets: DataFrame, seed: int = 0, total: float | None =
     known = plan.collect()
     if total is None:
         total = min((r["_most"] * r["_has"] / r["_share"] for r in known if r["_has"] and r["_share"]), default=0.0)
-    groups = math.ceil(max([1, *(r["_n"] or 0 for r in known)]) / ROWS)
+    groups = math.ceil(max([1, *(r["_n"] or 0 for r in known)]) / group_rows)
     rows = df.select("id", "source", F.col("size").cast("double").alias("size")).join(F.broadcast(plan), F.col("source") == F.col("_source"), "left")
     rate = F.when(F.col("size") > 0, F.least(F.col("_share") * F.lit(float(total)) / F.col("_has"), F.col("_most").cast("double")))
     rated = rows.withColumn("_rate", F.coalesce(rate, F.lit(0.0))).withColumn("base", F.floor(F.col("_rate") + 1e-12).cast("int"))
-    own = F.ceil(F.coalesce(F.col("_n"), F.lit(1)) / ROWS)
+    own = F.ceil(F.coalesce(F.col("_n"), F.lit(1)) / group_rows)
     start = rated.select(
         "id", "source", "size", "base", F.greatest(F.col("_rate") - F.col("base"), F.lit(0.0)).alias("part"),
         F.pmod(F.xxhash64(F.lit(seed), "id"), own).alias("group"),

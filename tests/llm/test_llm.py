@@ -332,3 +332,42 @@ def test_locations(one, other, same):
     a, b = map(places.parse_address, (one, other))
     assert (places.same_location(a, b) and addresses.contains(a, b)) is same
     assert not same or set(places.street_keys(a)) & set(places.street_keys(b))
+
+
+def test_a_tree_of_groups_keeps_shares(spark):
+    """Groups of four rows make several levels of the tree; each source still has its share but for one small row."""
+    rng = random.Random(8)
+    rows = [(i, "abc"[i % 3], rng.randint(1, 40)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, source string, size long")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 2), ("c", 0.2, 2)], "source string, target_share double, max_repeat int")
+    copies, report = mixing.mix(df, targets, total=15_000, group_rows=4)
+    got = {r.source: r for r in report.collect()}
+    assert all(abs(got[s].size - share * 15_000) <= 40 for s, share in (("a", 0.5), ("b", 0.3), ("c", 0.2)))
+    one = {r.id: r.copies for r in copies.collect()}
+    assert len(one) == 1500 and max(one.values()) <= 2
+    sizes = {i: n for i, _, n in rows}
+    assert sum(sizes[i] * k for i, k in one.items()) == sum(r.size for r in got.values())
+
+
+def test_compaction_of_many_batches_loses_nothing(spark, monkeypatch):
+    """Five batches with compaction by two make two levels of compacted runs; the roots are those of one batch."""
+    monkeypatch.setattr(increments, "FANOUT", 2)
+    cols = "id long, name string, address string"
+    rows = [(i, f"Bar {'abcdefg'[i % 7] * 5}", f"{1 + i % 5} Oak St, Town") for i in range(75)]
+    h = increments.History(spark)
+    roots = {}
+    for n in range(5):
+        roots |= {r.id: r.root for r in h.add(spark.createDataFrame(rows[15 * n : 15 * n + 15], cols)).collect()}
+    assert sorted(k for k, _ in h.runs) == [0, 2]
+    assert roots == {i: i % 35 for i in range(75)}
+
+
+def test_wide_windows_find_the_same_pairs(monkeypatch):
+    """A window searched by keys of names gives the pairs that a walk over all its rows gives."""
+    rng = random.Random(9)
+    words = ["fox", "fxo", "redfox", "red", "owl", "olw", "publick", "public", "house", "a", "f", "caffe"]
+    rows = [increments.Form(" ".join(rng.sample(words, rng.randint(1, 3))), "5|oak||st|||", rng.random() < 0.5, i) for i in range(150)]
+    pairs = lambda: {(i, j) for i, j in increments._window(rows) if increments.same_place(rows[i], rows[j])}
+    wide = pairs()
+    monkeypatch.setattr(increments, "WIDE", 1000)
+    assert pairs() == wide and wide
