@@ -117,6 +117,15 @@ def agree_status(votes: DataFrame, as_of: str, strong: float = 0.4) -> DataFrame
     return v.select("venue_id", d.alias("d")).select("venue_id", "d.kind", "d.value")
 
 
+def cascade(decisions: DataFrame) -> DataFrame:
+    """(venue_id, field, kind, value): where a place's status is suppressed, so are its hours, closing hours and specials;
+    specials lose their value. A null venue takes nothing over."""
+    shut = decisions.where((F.col("field") == "business_status") & (F.col("kind") == "suppressed")).select("venue_id", F.lit(True).alias("_shut")).distinct()
+    hit = F.coalesce("_shut", F.lit(False)) & F.col("field").isin("hours", "specials", "business_hours")
+    rows = decisions.join(shut, "venue_id", "left")
+    return rows.select("venue_id", "field", F.when(hit, "suppressed").otherwise(F.col("kind")).alias("kind"), F.when(~(hit & (F.col("field") == "specials")), F.col("value")).alias("value"))
+
+
 def last_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each group; Spark cuts groups down before the shuffle."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")

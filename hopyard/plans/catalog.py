@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hopyard.functions import hours, text
 from hopyard.operators import diff, matching, quality, truth
 from hopyard.session import table
-from hopyard.sources import in_box
+from hopyard.sources import in_box, in_categories
 
 AS_OF = "2026-08-05T00:00:00Z"
 
@@ -473,10 +473,11 @@ def regression_report(spark: SparkSession, folder: str) -> DataFrame:
     return quality.regression(quality.compared(before, after, ["snapshot_no", "osm_key"], ["name", "address", "amenity"]), ["snapshot_no"], {"address": 2, "amenity": 1}, 5)
 
 
-@query("SELECT row_no, osm_key FROM overpass WHERE lat BETWEEN 45.5 AND 45.9 AND lon BETWEEN -111.5 AND -110.5 AND (amenity ILIKE '%bar%' OR amenity ILIKE '%pub%')")
+@query(
+    "SELECT row_no, osm_key FROM overpass WHERE lat BETWEEN 45.5 AND 45.9 AND lon BETWEEN -111.5 AND -110.5 AND (amenity ILIKE '%restaurant%' OR amenity ILIKE '%bar%' OR amenity ILIKE '%cafe%' OR amenity ILIKE '%pub%' OR amenity ILIKE '%brewery%' OR amenity ILIKE '%food%')"
+)
 def bbox_scan(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "overpass")
-    return rows.where(in_box(F.col("lat"), F.col("lon"), 45.5, -111.5, 45.9, -110.5) & (F.col("amenity").ilike("%bar%") | F.col("amenity").ilike("%pub%"))).select("row_no", "osm_key")
+    return table(spark, folder, "overpass").where(in_box(F.col("lat"), F.col("lon"), 45.5, -111.5, 45.9, -110.5) & in_categories(F.col("amenity"))).select("row_no", "osm_key")
 
 
 @query(

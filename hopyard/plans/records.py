@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hopyard.functions import hours, text
-from hopyard.operators import diff, matching, merge
+from hopyard.operators import diff, matching, merge, truth
 from hopyard.plans.catalog import _LATEST, _NAME, _SEEN, _WINDOWS, _last_seen, _latest_hours, _within, live_heatmap, query, oracle_sql, queries  # noqa: F401
 from hopyard.session import table
+from hopyard.sources import poi
 
 _OWNED = ("name", "address", "phone")
 _KEEP = "coalesce(nullif(c.{0}, ''), nullif(p.{0}, ''), '') AS {0}"
@@ -253,3 +254,27 @@ def most_uncertain(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT c_custkey, abs(h) AS h FROM (SELECT c_custkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(c_name, ''), lambda x: ascii(x)::BIGINT)), lambda a, x: CASE WHEN (a * 31 + x) % 4294967296 >= 2147483648 THEN (a * 31 + x) % 4294967296 - 4294967296 WHEN (a * 31 + x) % 4294967296 < -2147483648 THEN (a * 31 + x) % 4294967296 + 4294967296 ELSE (a * 31 + x) % 4294967296 END) AS h FROM customer)")
 def name_hashes(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").select("c_custkey", text.hash_string(F.col("c_name")).alias("h"))
+
+
+@query(
+    """
+    WITH s AS (SELECT venue_id, arg_max(kind, field) AS kind FROM decision WHERE field = 'business_status' GROUP BY venue_id)
+    SELECT d.venue_id, d.field, CASE WHEN s.kind = 'suppressed' AND d.field IN ('hours', 'specials', 'business_hours') THEN 'suppressed' ELSE d.kind END AS kind,
+        CASE WHEN s.kind = 'suppressed' AND d.field = 'specials' THEN NULL ELSE d.value END AS value FROM decision d LEFT JOIN s ON s.venue_id = d.venue_id
+    """
+)
+def cascaded_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    return truth.cascade(table(spark, folder, "decision"))
+
+
+@query(
+    "SELECT place_no, coalesce(nullif(operating_status, ''), 'open') AS operating_status, coalesce(name, '') AS name, coalesce(address, '') AS address, coalesce(phone, '') AS phone, coalesce(confidence, 0.0) AS confidence, categories.primary AS category FROM overture_fixture"
+)
+def poi_layout(spark: SparkSession, folder: str) -> DataFrame:
+    """The flat table brought into the nested layout, with names as JSON, and read from there."""
+    flat = table(spark, folder, "overture_fixture")
+    nested = flat.select(
+        F.col("place_no").alias("id"), F.to_json(F.struct(F.col("name").alias("primary"))).alias("names"), F.array(F.struct(F.col("address").alias("freeform"), F.lit(None).cast("string").alias("locality"))).alias("addresses"),
+        F.array("phone").alias("phones"), "operating_status", "confidence", "categories",
+    )
+    return poi(nested).withColumnRenamed("id", "place_no")

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from hopyard.functions import hours, text
 from hopyard.operators import diff, matching, merge, quality, truth
-from hopyard.sources import poi, read_json, salvage_json
+from hopyard.sources import append_observations, locations, observations_of, poi, read_cache, read_json, salvage_json, save_json
 
 STATUS = [
     ("Daily 3-5pm & 8-9pm", None, "2026-08-02 20:41:00", "live", 1260),
@@ -213,3 +213,26 @@ def test_violations_and_regression(spark):
     assert (r.before, r.after, r.missing, r.fresh, r.changed, r.lost_hours, r.lost_tags, r.verdict) == (3, 3, 1, 1, 1, 2, 1, "fail")
     assert quality.regression(quality.compared(after, after, ["n", "id"], ["hours"]), ["n"], {"hours": 0}, 5).first().verdict == "pass"
     assert {tuple(r) for r in quality.deep_parity(before, after, "id", ["hours", "tags"]).collect()} == {("differs", "a", "hours"), ("differs", "a", "tags")}
+
+
+def test_poi_as_json_and_missing_parts(spark):
+    rows = [("1", '{"primary": "N"}', '[{"freeform": "1 Main", "locality": "Town"}]', '["555"]'), ("2", "Plain", "broken", None), ("3", None, '[{"locality": "Town"}]', "[]"), ("4", "{broken", '[{"freeform": "1 Main, Town", "locality": "Town"}]', "[null]")]
+    raw = spark.createDataFrame([(*r, "", None, None) for r in rows], "id string, names string, addresses string, phones string, operating_status string, confidence double, categories string")
+    assert [(r.name, r.address, r.phone, r.operating_status) for r in poi(raw).orderBy("id").collect()] == [("N", "1 Main, Town", "555", "open"), ("Plain", "", "", "open"), ("", "Town", "", "open"), ("", "1 Main, Town", "", "open")]
+
+
+def test_sinks_caches_and_stores(spark, tmp_path):
+    path = str(tmp_path / "state" / "x.json")
+    for n in (1, 2):
+        save_json(spark, path, {"name": "Café", "n": n})
+    assert read_json(spark, path, "name string, n int").first() == ("Café", 2)
+    assert [p.name for p in (tmp_path / "state").iterdir() if not p.name.endswith(".crc")] == ["x.json"]
+    entry = {"content_hash": "h", "sources": ["u"], "extract": {"status": "ok"}}
+    for name, doc in (("flat", {"a": entry, "b": {"other": 1}, "updated_at": "x"}), ("deep", {"updated_at": "x", "venues": {"a": entry}})):
+        save_json(spark, str(tmp_path / name), doc)
+        assert [(r.id, r.content_hash, r.extract.status) for r in read_cache(spark, str(tmp_path / name), "struct<status:string>").collect()] == [("a", "h", "ok")]
+    root = str(tmp_path / "store")
+    for n in (1, 2):
+        append_observations(spark.createDataFrame([("v", n), ("w", n)], "venue_id string, n int"), root)
+    assert sorted(r.n for r in observations_of(spark, root, "venue_id string, n int", "v").collect()) == [1, 2] and observations_of(spark, root, "venue_id string, n int").count() == 4
+    assert column(spark, locations(F.col("v")), "<urlset><url><loc> http://a </loc></url><loc>b</loc>", "x", None) == [["http://a", "b"], [], []]
