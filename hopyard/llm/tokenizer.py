@@ -4,8 +4,9 @@ A text is split into words by the tokenizer's pattern. A word that is itself a t
 map in the scan. The other words are reduced to the distinct ones over the whole corpus; each of these is encoded once
 by folding ranked merges over its bytes, and the result is joined back to the words' places.
 
-A byte is held as the character of the same number (ISO 8859-1), so that a byte array is a string on which Spark's
-string functions work, and the rank map has such strings as keys.
+In the fold a byte is held as the character of the same number (ISO 8859-1), so that a byte array is a string on which
+Spark's string functions work, and the rank map has such strings as keys. In the scan words stand as they are, and the
+rank map has the tokens that are texts.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ NO_RANK = 2**31 - 1
 LEFT, RIGHT = "‹", "›"
 #: Bytes from which on a word is folded by pairs instead of places.
 LONG = 128
+#: Above every place in a word that is folded by places.
+PLACES = 256
 
 
 @lru_cache(maxsize=4)
@@ -42,9 +45,14 @@ def _ranks(path: str) -> tuple[tuple[str, int], ...]:
 
 
 @lru_cache(maxsize=4)
-def _rank_json(path: str) -> str:
+def _rank_json(path: str, texts: bool = False) -> str:
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for token, rank in _ranks(path):
+        if texts:
+            try:
+                token = token.encode("latin-1").decode()
+            except UnicodeDecodeError:
+                continue  # part of a character, which no word is
         buckets[zlib.crc32(token.encode()) % BUCKETS][token] = rank
     return json.dumps(buckets)
 
@@ -62,14 +70,14 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def with_ranks(path: str, use: Callable[[Callable[[Column], Column]], Column]) -> Column:
-    """``use`` applied to a lookup of a byte string's rank (null if it has none).
+def with_ranks(path: str, use: Callable[[Callable[[Column], Column]], Column], texts: bool = False) -> Column:
+    """``use`` applied to a lookup of a byte string's rank, or with ``texts`` a text's (null if it has none).
 
     The map is a literal: an array of small maps, one of which is chosen by checksum, as Spark searches a map from end
     to end. The optimizer folds the JSON into the literal, which stands once in the expression however often it is
     looked up, as every task reads it anew.
     """
-    buckets = F.from_json(F.lit(_rank_json(path)), "array<map<string,int>>")
+    buckets = F.from_json(F.lit(_rank_json(path, texts)), "array<map<string,int>>")
     return _let(buckets, lambda m: use(lambda s: F.try_element_at(F.get(m, F.pmod(F.crc32(s), F.lit(BUCKETS)).cast("int")), s)))
 
 
@@ -85,30 +93,34 @@ def words(text: Column) -> Column:
 
 def fold_places(word: Column, rank: Callable[[Column], Column]) -> Column:
     """The pieces of a byte string: a fold in which each round merges the leftmost pair of the lowest rank, keeping
-    the ranks of all pairs so that a round looks up only the two pairs it makes. Time grows as length x rounds."""
-
-    def merge(state: Column, i: Column) -> Column:
-        p, r = state["p"], state["r"]
-        one = F.concat(F.get(p, i - 1), F.get(p, i))
-        n = F.size(p)
-        before = F.when(i > 1, F.array(rank(F.concat(F.get(p, i - 2), one)))).otherwise(no_ranks)
-        after = F.when(i < n - 1, F.array(rank(F.concat(one, F.get(p, i + 1))))).otherwise(no_ranks)
+    the ranks of all pairs so that a round looks up only the two pairs it makes. Time grows as length x rounds.
+
+    Pieces are held as the places where they start, and cut from the word where they are looked up. ``at`` has them from
+    its second element on, then the word's end; its first and last element, with which any cut is empty, stand for the
+    neighbours that the outer pieces lack. ``r`` has, between two nulls, a pair's rank x PLACES + the place of its first
+    piece, where ``at`` has that piece; counting what starts up to there finds it.
+    """
+
+    def cut(start: Column, end: Column) -> Column:
+        return F.substr(word, start, end - start)
+
+    def pair(start: Column, end: Column) -> Column:
+        return rank(cut(start, end)) * PLACES + start
+
+    def merge(at: Column, r: Column, i: Column) -> Column:
+        left, right = pair(F.get(at, i - 2), F.get(at, i + 1)), pair(F.get(at, i - 1), F.get(at, i + 2))
         return F.struct(
-            F.concat(F.slice(p, F.lit(1), i - 1), F.array(one), F.slice(p, i + 2, n)).alias("p"),
-            F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(r, i + 2, n)).alias("r"),
+            F.concat(F.slice(at, F.lit(1), i), F.slice(at, i + 2, F.size(at))).alias("at"),
+            F.concat(F.slice(r, F.lit(1), i - 2), F.array(left, right), F.slice(r, i + 2, F.size(r))).alias("r"),
         )
 
-    no_ranks = F.array().cast("array<int>")
-    bytes_ = F.split(word, "")
-    start = _let(
-        bytes_,
-        lambda p: F.struct(
-            p.alias("p"),
-            F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(0), F.greatest(F.size(p) - 2, F.lit(0))), lambda i: rank(F.concat(F.get(p, i), F.get(p, i + 1))))).otherwise(no_ranks).alias("r"),
-        ),
-    )
-    step = lambda state, _: _let(F.array_min(state["r"]), lambda m: F.when(m.isNull(), state).otherwise(_let(F.array_position(state["r"], m).cast("int"), lambda i: merge(state, i))))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), start, step, lambda state: state["p"])
+    n = F.length(word)
+    none = F.array(F.lit(None).cast("int"))
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: pair(i, i + 2))).otherwise(F.array().cast("array<int>"))
+    start = F.struct(F.concat(F.array(n + 2), F.sequence(F.lit(1), n + 1), F.array(F.lit(0))).alias("at"), F.concat(none, pairs, none).alias("r"))
+    step = lambda state, _: _let(F.array_min(state["r"]), lambda m: F.when(m.isNull(), state).otherwise(_let(F.size(F.filter(state["at"], lambda x: x <= m % PLACES)), lambda i: merge(state["at"], state["r"], i))))
+    pieces = lambda at: F.transform(F.slice(at, F.lit(2), F.size(at) - 3), lambda s, i: cut(s, F.get(at, i + 2)))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step, lambda state: pieces(state["at"]))
 
 
 def fold_pairs(word: Column, rank: Callable[[Column], Column]) -> Column:
@@ -149,31 +161,36 @@ def fold_merges(word: Column, rank: Callable[[Column], Column]) -> Column:
 
 
 def _split(df: DataFrame, key: str, text: str, ranks: str, ids: bool = True) -> DataFrame:
-    """(_key, known, open): ``open`` has the distinct words of a text that are no tokens, as bytes; ``known`` the id of
-    each word, for one of these -1 for the first of them, -2 for the second and so on. Without ``ids``, ``known`` is only
-    the number of words, and ``open`` has a word as often as it occurs.
+    """(_key, known, open): ``open`` has the distinct words of a text that are no tokens; ``known`` the id of each word,
+    for one of these -1 for the first of them, -2 for the second and so on. Without ``ids``, ``known`` is only the number
+    of words, and ``open`` has a word as often as it occurs.
 
     The split is written once, as several steps read it, and each would run it again; what they read is a fraction of
     the texts.
     """
 
-    def parts(s: Column) -> Column:
-        rest = F.transform(F.filter(F.arrays_zip(s["words"].alias("word"), s["known"].alias("known")), lambda x: x["known"].isNull()), lambda x: x["word"])
-        if not ids:
-            return F.struct(F.size(s["words"]).alias("known"), rest.alias("open"))
-        named = lambda open_: F.zip_with(s["known"], s["words"], lambda k, w: F.coalesce(k, -F.array_position(open_, w).cast("int")))
-        return _let(F.array_distinct(rest), lambda open_: F.struct(named(open_).alias("known"), open_.alias("open")))
+    def counted(w: Column, rank: Callable[[Column], Column]) -> Column:
+        return F.struct(F.size(w).alias("known"), F.filter(w, lambda x: rank(x).isNull()).alias("open"))
+
+    def named(w: Column, known: Column) -> Column:
+        # A map from word to number, built once for a text.
+        numbers = lambda open_: F.map_from_arrays(open_, F.transform(open_, lambda _, i: -1 - i))
+        filled = lambda m: F.transform(known, lambda k, i: F.coalesce(k, F.try_element_at(m, F.get(w, i))))
+        rest = F.array_distinct(F.filter(w, lambda _, i: F.get(known, i).isNull()))
+        return _let(rest, lambda open_: F.struct(_let(numbers(open_), filled).alias("known"), open_.alias("open")))
+
+    def parts(w: Column, rank: Callable[[Column], Column]) -> Column:
+        return _let(F.transform(w, rank), lambda known: named(w, known)) if ids else counted(w, rank)
 
-    split = lambda rank: _let(F.transform(words(F.col(text)), as_bytes), lambda w: F.struct(w.alias("words"), F.transform(w, rank).alias("known")))
     # The struct's fields are taken from the table read back, not here, where each would split the text again.
-    row = materialize(df.select(F.col(key).alias("_key"), with_ranks(ranks, lambda rank: _let(split(rank), parts)).alias("_s")), "split")
+    row = materialize(df.select(F.col(key).alias("_key"), with_ranks(ranks, lambda rank: _let(words(F.col(text)), lambda w: parts(w, rank)), texts=True).alias("_s")), "split")
     return row.select("_key", F.col("_s.known").alias("known"), F.col("_s.open").alias("open"))
 
 
 def _encoded_words(places: DataFrame, ranks: str) -> DataFrame:
     """Each distinct open word with its ids. Duplicates are dropped before the shuffle, so a frequent word is one row
     per task there."""
-    return materialize(places.select("_word").distinct().withColumn("_piece_ids", with_ranks(ranks, lambda rank: fold_merges(F.col("_word"), rank))), "pieces")
+    return materialize(places.select("_word").distinct().withColumn("_piece_ids", with_ranks(ranks, lambda rank: _let(as_bytes(F.col("_word")), lambda b: fold_merges(b, rank)))), "pieces")
 
 
 def encode(df: DataFrame, key: str, text: str, ranks: str) -> DataFrame:
@@ -189,11 +206,11 @@ def encode(df: DataFrame, key: str, text: str, ranks: str) -> DataFrame:
     # A text's known ids and its filled words meet in one exchange, as rows and not as partial lists: hardly any key
     # comes twice in a task before it.
     whole = base.select("_key", F.lit(0).alias("_at"), F.col("known").alias("_ids"))
-    rows = whole.unionByName(filled).repartition("_key").groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "_ids"))).alias("_x"))
+    rows = whole.unionByName(filled).repartition("_key").groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_at", "_ids")))["_ids"].alias("_x"))
 
     def assembled(x: Column) -> Column:
-        known = F.get(x, F.lit(0))["_ids"]
-        return F.when(F.size(x) == 1, known).otherwise(F.flatten(F.transform(known, lambda k: F.when(k >= 0, F.array(k)).otherwise(F.get(x, -k)["_ids"]))))
+        known = F.get(x, F.lit(0))
+        return F.when(F.size(x) == 1, known).otherwise(F.flatten(F.transform(known, lambda k: F.when(k >= 0, F.array(k)).otherwise(F.get(x, -k)))))
 
     return rows.select(F.col("_key").alias(key), _let(F.col("_x"), assembled).alias("ids"))
 

@@ -38,6 +38,19 @@ def test_encode_equals_a_public_encoder_and_decodes_back(spark, ranks):
     assert tokenizer.encode(df.limit(0), "id", "text", ranks).count() == 0
 
 
+def test_encode_searches_no_array_by_position_and_folds_alike(spark, ranks, monkeypatch):
+    plans, real = [], tokenizer.materialize
+    monkeypatch.setattr(tokenizer, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().analyzed().toString()) or real(df, name))
+    tokenizer.encode(spark.createDataFrame([(1, "Kelenstad zzqxjv")], "id long, text string"), "id", "text", ranks)
+    assert len(plans) == 2 and not any("array_position(" in p for p in plans)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abenrst\u00c3\u00a9 ") for _ in range(n)) for n in [*range(1, 40), 127, 128]]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    both = df.select("w", *(tokenizer.with_ranks(ranks, lambda rank, f=f: f(F.col("w"), rank)).alias(f.__name__) for f in (tokenizer.fold_places, tokenizer.fold_pairs)))
+    for r in both.collect():
+        assert r.fold_places == r.fold_pairs and "".join(r.fold_places) == r.w
+
+
 def test_mix_keeps_total_and_caps(spark):
     rng = random.Random(1)
     rows = [(i, s, rng.randint(0, 50)) for i, s in enumerate(["a"] * 60 + ["b"] * 30 + ["c"] * 6 + ["other"] * 3)] + [(99, None, 5)]
